@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy step works on; a longer text is one step of its own.
@@ -81,9 +81,9 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[starts:ends], by a running polynomial sum, in pieces of bounded size."""
-    lo, hi = np.zeros(len(starts), U64), np.zeros(len(starts), U64)
+def span_hashes(buf: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of buf[starts:ends] for each array of ends, by one running polynomial sum, in pieces of bounded size."""
+    lo, hi = np.zeros(len(starts), U64), [np.zeros(len(starts), U64) for _ in ends]
     carry, scale = U64(0), U64(1)
     with np.errstate(over="ignore"):
         for a in range(0, len(buf), _CHUNK):
@@ -94,12 +94,13 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             c += carry
             i, j = np.searchsorted(starts, (a, b))
             lo[i:j] = c[starts[i:j] - a]
-            i, j = np.searchsorted(ends, (a + 1, b + 1))
-            hi[i:j] = c[ends[i:j] - a]
+            for end, got in zip(ends, hi):
+                i, j = np.searchsorted(end, (a + 1, b + 1))
+                got[i:j] = c[end[i:j] - a]
             carry, scale = c[-1], scale * _POW[b - a]
         high = np.array([pow(_INVERSE, k << _CHUNK_BITS, 1 << 64) for k in range((len(buf) >> _CHUNK_BITS) + 1)], U64)
-        h = (hi - lo) * _IPOW[starts & (_CHUNK - 1)] * high[starts >> _CHUNK_BITS]
-        return mix(h + (ends - starts).astype(U64))
+        back = _IPOW[starts & (_CHUNK - 1)] * high[starts >> _CHUNK_BITS]
+        return [mix((got - lo) * back + (end - starts).astype(U64)) for end, got in zip(ends, hi)]
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +119,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
     if lower:
         buf = _LOWER[buf]
     starts, ends, first = spans(~_SEPARATOR[buf], offsets)
-    return span_hashes(buf, starts, ends), first
+    return span_hashes(buf, starts, ends)[0], first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +166,24 @@ def steps(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         at = end
 
 
+def learning_rows(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
+    """(text, label) of at most `most` labelled documents that may be learned from.
+
+    These are the documents whose crc32(doc_id as text) mod 5 is not 0; of more than the bound, those with the
+    least hash of doc_id. A document's label is the greatest of its rows; null labels are none. The ids are a
+    bounded broadcast, so the documents do not move.
+    """
+    own = pick(labels, "doc_id", column).filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
+    own = own.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    some = own.groupBy("doc_id").agg(F.max(column).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return pick(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select("text", "label")
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is kept from learning; null is."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
