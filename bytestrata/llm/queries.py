@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytestrata.llm import bpe, fingerprints, mixing, quality, secrets, toxicity
+from bytestrata.llm import bpe, fingerprints, mixing, ngram_join, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_bpe": op6_bpe,
-    "op9_toxicity": op9_toxicity,
+    "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op8_ngram_join": ngram_join.ORACLE}
