@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytestrata.llm import bpe, fingerprints, mixing, ngram_join, quality, secrets, toxicity
+from bytestrata.llm import bpe, cover_tree, fingerprints, mixing, ngram_join, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.linked(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_bpe": op6_bpe,
-    "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity,
+    "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity, "op10_cover_tree": op10_cover_tree,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op8_ngram_join": ngram_join.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op10_cover_tree": cover_tree.ORACLE}
