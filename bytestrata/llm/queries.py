@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytestrata.llm import bpe, cover_tree, fingerprints, mixing, ngram_join, quality, secrets, toxicity
+from bytestrata.llm import bpe, cover_tree, fingerprints, mixing, ngram_join, quality, secrets, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_bpe": op6_bpe,
+    "op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op3_suffix_dedup": op3_suffix_dedup, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_bpe": op6_bpe,
     "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity, "op10_cover_tree": op10_cover_tree,
 }
 ORACLES = {"op1_mixing": mixing.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op10_cover_tree": cover_tree.ORACLE}
