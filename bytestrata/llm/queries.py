@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytestrata.llm import bpe, cover_tree, fingerprints, mixing, ngram_join, quality, secrets, suffix_dedup, toxicity
+from bytestrata.llm import bpe, cover_tree, fingerprints, licenses, mixing, ngram_join, quality, secrets, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_files(table(spark, sf_dir, "documents")))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,6 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_fingerprints": op2_fingerprints, "op3_suffix_dedup": op3_suffix_dedup, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_bpe": op6_bpe,
-    "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity, "op10_cover_tree": op10_cover_tree,
+    "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_toxicity": op9_toxicity, "op10_cover_tree": op10_cover_tree,
 }
 ORACLES = {"op1_mixing": mixing.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op10_cover_tree": cover_tree.ORACLE}
