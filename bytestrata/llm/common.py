@@ -8,11 +8,12 @@ and hashed on the bytes of a whole Arrow batch at once.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy step works on; a longer text is one step of its own.
@@ -28,15 +29,27 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return own.select(*(F.col(f"_c{i}").alias(n) for i, n in zip(at, names, strict=True)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder that spark.checkpoint.dir names."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, for all executors; one of this machine only where it is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="bytestrata-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bytestrata-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a Parquet table in the shared folder, for rows that carry whole texts."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- hashes ---------------------------------------------------------------
 
 

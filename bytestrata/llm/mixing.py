@@ -117,10 +117,20 @@ def mix(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHEDULES, share
     return placed.select("doc_id", "source", "size", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), copies).otherwise(none).alias("copies"))
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """A row for each copy that the mix takes, range-sorted by its position in training."""
-    copies = mixed.select("*", F.explode("copies").alias("copy")).drop("copies").select("*", "copy.*").drop("copy")
-    return copies.orderBy("position", "doc_id", "epoch")
+def training_order(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHEDULES, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The documents, one row for each time that the mix takes at least half of one, range-sorted by position in training.
+
+    Whole texts meet their decisions by doc_id, source and size, and move once more to their positions.
+    """
+    mixed = mix(docs, schedules, share, cap)
+    kept = mixed.withColumn("copies", F.filter("copies", lambda c: 2 * c["taken"] >= F.col("size"))).filter(F.size("copies") > 0)
+    # rows alike in all three are interchangeable here, as long as each of them is taken about as often
+    by = ["doc_id", "source", "size"]
+    place = lambda *order: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    kept = kept.withColumn("place", place(F.element_at("copies", 1)["position"])).select(*(F.col(c).alias(f"_{c}") for c in (*by, "place")), "copies")
+    own = docs.withColumn("size", word_count(F.col("text"))).withColumn("place", place("text"))
+    joined = own.join(kept, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "place")])
+    return joined.withColumn("_copy", F.explode("copies")).orderBy("_copy.position", "doc_id", "_copy.epoch").select(*docs.columns)
 
 
 def mixture(docs: DataFrame) -> DataFrame:

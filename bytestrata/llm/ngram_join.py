@@ -313,14 +313,22 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Documents that are alone stay as they are. Of repeated rows with the doc_id that stays, one stays; where no
     document of a component has a doc_id, one of each text stays.
     """
-    found = joined(docs, words, percent)
-    sizes = found.filter("component_id is not null").groupBy("component_id").agg(F.count("*").alias("many")).filter("many > 1")
-    grouped = found.join(sizes, "component_id")
-    gone = grouped.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    found = cut(joined(docs, words, percent))
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    sets = found.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count()
+    repeated = sets.filter("count > 1").select("doc_id")
     stay = docs.join(gone, "doc_id", "left_anti")
-    unnamed, repeated = stay.filter("doc_id is null").dropDuplicates(["text"]), grouped.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = stay.filter("doc_id is not null").join(repeated, "doc_id", "left_anti")
-    return once.unionByName(stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).unionByName(unnamed).select(*docs.columns)
+    if not repeated.isEmpty():
+        stay = stay.join(repeated, "doc_id", "left_anti").unionByName(stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if not found.filter("doc_id is null").isEmpty():
+        # where a component has a named document, its unnamed ones go
+        shadowed = found.filter("doc_id is null and component_id is not null").isEmpty()
+        unnamed = stay.filter("doc_id is null").dropDuplicates(["text"])
+        if not shadowed:
+            named = stay.filter("doc_id is not null").select("text").distinct()
+            unnamed = unnamed.join(named, "text", "left_anti")
+        stay = stay.filter("doc_id is not null").unionByName(unnamed)
+    return stay.select(*docs.columns)
 
 
 ORACLE = r"""
