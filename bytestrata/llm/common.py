@@ -38,9 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cuts lineage with a checkpoint in the shared folder.
+
+    A checkpoint keeps the constraints that Catalyst infers, and over rounds of joins these grow without bound, so
+    they are not inferred for its plan.
+    """
+    spark, name = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    shared_folder(spark)
+    was = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(name, was)
 
 
 def written(df: DataFrame) -> DataFrame:
