@@ -4,8 +4,8 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Sets who
 reaches s differ in at most (1 - s) / (1 + s) of the sum of their sizes. Sizes fall into bands whose ends
 have the ratio s, so that similar sets stand in one band or in neighbouring ones, and every set takes part in
 two instances of neighbouring bands. An instance divides the domain of hashes into first-level parts, so many
-that two similar sets differ by less than LEVEL + 1 elements in some part, and each of these into SUBPARTS
-second-level parts: at most LEVEL of them differ, so that some subset of the others is equal. The hash
+that two similar sets differ by at most `level` elements in some part, and each of these into `subparts`
+second-level parts: at most `level` of them differ, so that some subset of the others is equal. The hash
 of a set's elements in such a subset is a signature, and similar sets share one.
 
 Sets with a common signature are candidates. Candidates are linked in chains, not in all pairs, and the
@@ -35,9 +35,11 @@ from bytestrata.llm.common import U64, cut, mix, pick, shingle_hashes, steps, wo
 from bytestrata.llm.components import components, thinned
 
 WORDS, PERCENT = 4, 85
-#: Differences allowed in a first-level part, and second-level parts. More of both make signatures of more
-#: elements, which fewer dissimilar sets share, and make more of them: (2, 6) from some 10 million documents on.
-LEVEL, SUBPARTS = 1, 4
+#: (documents, level, subparts): up to so many documents, the differences allowed in a first-level part and the
+#: number of second-level parts. More of both make signatures of more elements, which fewer dissimilar sets share,
+#: and make more of them. All of them find every similar pair; they follow the corpus so that the expected number
+#: of dissimilar partners of a set stays small.
+SHAPES = ((1_000_000, 1, 3), (10_000_000, 1, 4), (1_000_000_000, 2, 6), (math.inf, 3, 8))
 #: The most sets and elements of a block.
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 500_000
 _MAP_BITS = 24
@@ -65,7 +67,7 @@ def band(size: int, percent: int) -> int:
 class Signatures:
     """The signatures of sets for one similarity."""
 
-    def __init__(self, percent: int, level: int = LEVEL, subparts: int = SUBPARTS) -> None:
+    def __init__(self, percent: int, level: int, subparts: int) -> None:
         self.percent, self.level, self.subparts = percent, level, subparts
         self.subsets = np.zeros((math.comb(subparts, level), subparts), U64)
         for row, kept in enumerate(combinations(range(subparts), subparts - level)):
@@ -171,7 +173,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, n_shingles long, set_id long")
 
 
-def candidates(docs: DataFrame, words: int, percent: int, level: int = LEVEL, subparts: int = SUBPARTS) -> DataFrame:
+def candidates(docs: DataFrame, words: int, percent: int, level: int, subparts: int) -> DataFrame:
     """Links (a, b) between sets, so that sets with a common signature are connected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +206,9 @@ def candidates(docs: DataFrame, words: int, percent: int, level: int = LEVEL, su
         pairs = np.unique(np.stack((leader[other], names[other]), 1), axis=0)
         with np.errstate(over="ignore"):
             any_key = mix(pairs[:, 0].view(U64) * U64(3) + pairs[:, 1].view(U64)).view(np.int64) if len(pairs) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[lead]), pa.array(names[lead]), pa.nulls(int(lead.sum()), pa.int64())], ["signature", "b", "a"])
+        # in the order of the documents, whose names then compress well in the shuffle
+        leaders = np.argsort(order[lead])
+        yield pa.RecordBatch.from_arrays([pa.array(found[lead][leaders]), pa.array(names[lead][leaders]), pa.nulls(len(leaders), pa.int64())], ["signature", "b", "a"])
         yield pa.RecordBatch.from_arrays([pa.array(any_key), pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["signature", "b", "a"])
 
     sent = pick(docs, "text").mapInArrow(run, "signature long, b long, a long")
@@ -291,9 +295,11 @@ def verified(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, level: int = LEVEL, subparts: int = SUBPARTS) -> DataFrame:
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shapes: tuple = SHAPES) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: the least doc_id that links reach, its own included."""
     rows = cut(sets_of(docs, words))
+    many = rows.count()
+    level, subparts = next((a, b) for most, a, b in shapes if many <= most)
     chains = cut(thinned(candidates(docs, words, percent, level, subparts)))
     close = components(chains).withColumnRenamed("node", "set_id")
     names = rows.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"))
