@@ -38,23 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder.
+    """Cuts lineage with a Parquet table in the shared folder, which lost executors leave in place.
 
-    A checkpoint keeps the constraints that Catalyst infers, and over rounds of joins these grow without bound, so
-    they are not inferred for its plan.
+    A table has its true size. A checkpoint keeps the estimate of its plan, and over rounds of joins estimates multiply
+    until planning itself runs out of memory.
     """
-    spark, name = df.sparkSession, "spark.sql.constraintPropagation.enabled"
-    shared_folder(spark)
-    was = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(name, was)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a Parquet table in the shared folder, for rows that carry whole texts."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
