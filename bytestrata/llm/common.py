@@ -7,9 +7,10 @@ and hashed on the bytes of a whole Arrow batch at once.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return own.select(*(F.col(f"_c{i}").alias(n) for i, n in zip(at, names, strict=True)))
 
 
+def carried(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with every column but the needed ones under a name of its own, and the way back to its columns."""
+    names = [c if c in needed and df.columns.index(c) == i else f"_x{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*names).toDF(*df.columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, for all executors; one of this machine only where it is unset."""
     sc = spark.sparkContext
@@ -48,6 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark remove the shuffle files of plans that are no longer held: it does so when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 # --- hashes ---------------------------------------------------------------
 
 

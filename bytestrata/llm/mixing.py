@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bytestrata.llm.common import cut, pick
+from bytestrata.llm.common import carried, cut, pick
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Schedules of the sources in code-point order, null last, repeating: they integrate to 3, 1 and 2.
@@ -122,6 +122,7 @@ def training_order(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHED
 
     Whole texts meet their decisions by doc_id, source and size, and move once more to their positions.
     """
+    docs, back = carried(docs, "doc_id", "source", "text")
     mixed = mix(docs, schedules, share, cap)
     kept = mixed.withColumn("copies", F.filter("copies", lambda c: 2 * c["taken"] >= F.col("size"))).filter(F.size("copies") > 0)
     # rows alike in all three are interchangeable here, as long as each of them is taken about as often
@@ -130,7 +131,7 @@ def training_order(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHED
     kept = kept.withColumn("place", place(F.element_at("copies", 1)["position"])).select(*(F.col(c).alias(f"_{c}") for c in (*by, "place")), "copies")
     own = docs.withColumn("size", word_count(F.col("text"))).withColumn("place", place("text"))
     joined = own.join(kept, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "place")])
-    return joined.withColumn("_copy", F.explode("copies")).orderBy("_copy.position", "doc_id", "_copy.epoch").select(*docs.columns)
+    return back(joined.withColumn("_copy", F.explode("copies")).orderBy("_copy.position", "doc_id", "_copy.epoch"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ Hot signatures: a task sends a signature once per batch and links the sets that
 Defined results: a null text is the empty text; a text without words has an empty set and is linked with
 nothing; a text of fewer words than a shingle has its whole sequence as one; ties and repeated rows are copies,
 linked by their equal sets; a null doc_id is never a component's name unless all of its documents have none;
-an empty table gives an empty result; other columns are ignored. Sets are told apart by 64-bit hashes.
+an empty table gives an empty result; other columns are ignored. Sets are told apart by 64-bit hashes, and their
+elements are compared by 40 bits of theirs.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from bytestrata.llm.common import U64, cut, mix, pick, shingle_hashes, steps, word_hashes
+from bytestrata.llm.common import U64, carried, cut, gather, mix, pick, release, shingle_hashes, steps, word_hashes
 from bytestrata.llm.components import components, thinned
 
 WORDS, PERCENT = 4, 85
@@ -40,8 +41,10 @@ WORDS, PERCENT = 4, 85
 #: and make more of them. All of them find every similar pair; they follow the corpus so that the expected number
 #: of dissimilar partners of a set stays small.
 SHAPES = ((1_000_000, 1, 3), (10_000_000, 1, 4), (1_000_000_000, 2, 6), (math.inf, 3, 8))
-#: The most sets and elements of a block.
-BLOCK_SETS, BLOCK_ELEMENTS = 1024, 500_000
+#: The most sets and elements of a block, about.
+BLOCK_SETS, BLOCK_ELEMENTS = 3072, 3_000_000
+#: Leading bytes of an element's hash that are sent to be compared, and leading bits of a signature.
+ELEMENT_BYTES, SIGNATURE_BITS = 5, 48
 _MAP_BITS = 24
 
 
@@ -104,43 +107,48 @@ class Signatures:
             return np.concatenate(out)
 
 
-def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Matrix of the similar pairs of a set of the left and one of the right; both are masks over the sets."""
-    n, size = len(sets), np.array([len(s) for s in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), size)
-    keep = times[column] > 1
-    column, owner = column[keep], owner[keep]
-    names, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    times = np.bincount(column, minlength=len(names))
-    if (times.astype(float) ** 2).sum() / 2 * 15 > len(names) * float(n) * n / 10:  # dense: columns in matrices
-        common = np.zeros((n, n), np.float32)
-        for a in range(0, len(names), wide := max(64, (1 << 23) // max(n, 1))):
-            i, j = np.searchsorted(column, (a, a + wide))
-            part = np.zeros((n, wide), np.float32)
-            part[owner[i:j], column[i:j] - a] = 1
-            common += part @ part.T
-    else:
-        counts = np.zeros(n * n, np.float32)
-        after = np.cumsum(times)[column] - np.arange(len(column)) - 1  # elements that follow in the same column
-        ends = np.cumsum(after)
-        a = 0
-        while a < len(column):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 21), "right")))
-            k = np.repeat(np.arange(a, b), after[a:b])
-            first = np.cumsum(after[a:b]) - after[a:b]
-            other = k + 1 + np.arange(len(k)) - np.repeat(first, after[a:b])
-            counts += np.bincount(owner[k] * n + owner[other], minlength=n * n)
-            a = b
-        common = counts.reshape(n, n)
-        common = common + common.T
-    union = size[:, None] + size[None, :] - common
-    found = 100 * common.astype(np.int64) >= percent * union.astype(np.int64)
-    found &= left[:, None] & right[None, :] | right[:, None] & left[None, :]
-    np.fill_diagonal(found, False)
-    return found
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the numbers of common elements of each set of the left and each of the right."""
+    n, m = len(left), len(right)
+    values, owner = np.concatenate(right), np.repeat(np.arange(m), [len(s) for s in right])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    mine, whose = np.concatenate(left), np.repeat(np.arange(n), [len(s) for s in left])
+    low = np.searchsorted(values, mine, "left")
+    many = np.searchsorted(values, mine, "right") - low
+    some = many > 0
+    mine, whose, low, many = mine[some], whose[some], low[some], many[some]
+    names = np.unique(mine)
+    if float(many.sum()) * 15 > len(names) * float(n) * m / 10:  # dense: columns in matrices
+        out = np.zeros((n, m), np.float32)
+        at, theirs = np.searchsorted(names, mine), np.searchsorted(names, values)
+        known = theirs < len(names)
+        known[known] &= names[theirs[known]] == values[known]
+        theirs, owner = theirs[known], owner[known]
+        order = np.argsort(at, kind="stable")
+        at, whose = at[order], whose[order]
+        for a in range(0, len(names), wide := max(64, (1 << 23) // max(n, m))):
+            x, y = np.zeros((n, wide), np.float32), np.zeros((m, wide), np.float32)
+            i, j = np.searchsorted(at, (a, a + wide))
+            x[whose[i:j], at[i:j] - a] = 1
+            i, j = np.searchsorted(theirs, (a, a + wide))
+            y[owner[i:j], theirs[i:j] - a] = 1
+            out += x @ y.T
+        return out.astype(np.int64)
+    out, ends, a = np.zeros(n * m, np.int64), np.cumsum(many), 0
+    while a < len(mine):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + max(1 << 21, n * m), "right")))
+        key = np.repeat(whose[a:b] * m, many[a:b]) + owner[gather(low[a:b], many[a:b])]
+        out += np.bincount(key, minlength=n * m)
+        a = b
+    return out.reshape(n, m)
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix of the similar pairs of a set of the left and one of the right."""
+    shared = common(left, right)
+    union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - shared
+    return 100 * shared >= percent * union
 
 
 def tree(found: np.ndarray) -> list[tuple[int, int]]:
@@ -186,7 +194,7 @@ def candidates(docs: DataFrame, words: int, percent: int, level: int, subparts:
                         seen.add(name)
                         own = maker.of(s)
                         names.append(np.full(len(own), name, np.int64))
-                        found.append(own.view(np.int64))
+                        found.append((own >> U64(64 - SIGNATURE_BITS)).view(np.int64))
                         held += len(own)
                 if held > 1_500_000:
                     yield from out(np.concatenate(names), np.concatenate(found))
@@ -205,7 +213,8 @@ def candidates(docs: DataFrame, words: int, percent: int, level: int, subparts:
         other = ~lead & (leader != names)
         pairs = np.unique(np.stack((leader[other], names[other]), 1), axis=0)
         with np.errstate(over="ignore"):
-            any_key = mix(pairs[:, 0].view(U64) * U64(3) + pairs[:, 1].view(U64)).view(np.int64) if len(pairs) else np.zeros(0, np.int64)
+            # links that are found already go to any task
+            any_key = -(mix(pairs[:, 0].view(U64) * U64(3) + pairs[:, 1].view(U64)) >> U64(16)).view(np.int64) - 1 if len(pairs) else np.zeros(0, np.int64)
         # in the order of the documents, whose names then compress well in the shuffle
         leaders = np.argsort(order[lead])
         yield pa.RecordBatch.from_arrays([pa.array(found[lead][leaders]), pa.array(names[lead][leaders]), pa.nulls(len(leaders), pa.int64())], ["signature", "b", "a"])
@@ -226,6 +235,17 @@ def _bitmap(members: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def packed(elements: np.ndarray) -> bytes:
+    """The leading bytes of ascending hashes."""
+    return elements.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :ELEMENT_BYTES].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // ELEMENT_BYTES, 8), np.uint8)
+    out[:, :ELEMENT_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, ELEMENT_BYTES)
+    return out.view(">u8").ravel().astype(U64)
+
+
 def members_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """(set_id, elements): the sets of the members and a few more, the same set at most once per task."""
     wanted = np.packbits(_bitmap(members))
@@ -238,7 +258,7 @@ def members_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
                 for s in sets:
                     if len(s) and (name := set_id(s)) not in seen and has[(name & (1 << 64) - 1) >> (64 - _MAP_BITS)]:
                         seen.add(name)
-                        rows.append((name, s.tobytes()))
+                        rows.append((name, packed(s)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["set_id", "elements"])
 
     return pick(docs, "text").mapInArrow(run, "set_id long, elements binary")
@@ -247,8 +267,9 @@ def members_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 def blocks(members: DataFrame, percent: int) -> DataFrame:
     """(set_id, task, side) of sets (set_id, n_shingles, component): the comparisons in which each set takes part.
 
-    A component that fits a block is one task. Others are cut into blocks by size band and hash, and every two
-    blocks of one band or neighbouring ones are a task: side 0 is compared with side 1, and side 2 with itself.
+    A component that fits a block is one task. Others are cut into blocks by size band and hash. Similar sets are in
+    one band or in neighbouring ones, so a task has a block (side 0) and one of the same or the next band (side 1);
+    the first of a block's tasks with the next band also compares the block with itself (side 2).
     """
     size_band = F.floor(F.log("n_shingles") / math.log(100 / percent) + 1e-9).cast("int")
     own = members.withColumn("band", size_band)
@@ -257,17 +278,16 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
     each = own.groupBy("component", "band").agg(many().alias("own_blocks"))
     following = each.select("component", (F.col("band") - 1).alias("band"), F.col("own_blocks").alias("next_blocks"))
     before = each.select("component", (F.col("band") + 1).alias("band"), F.col("own_blocks").alias("last_blocks"))
-    each = each.join(following, ["component", "band"], "left").join(before, ["component", "band"], "left").join(whole, "component")
+    each = cut(each.join(following, ["component", "band"], "left").join(before, ["component", "band"], "left").join(whole, "component"))
     own = own.join(each, ["component", "band"])
-    block = F.pmod(F.xxhash64("set_id"), F.col("own_blocks").cast("long")).cast("int")
-    own = own.withColumn("block", F.when(F.col("all_blocks") == 1, 0).otherwise(block)).withColumn("band", F.when(F.col("all_blocks") == 1, 0).otherwise(F.col("band")))
+    own = own.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("own_blocks").cast("long")).cast("int"))
     task = lambda b1, k1, b2, k2: F.concat_ws(":", F.col("component").cast("string"), b1.cast("string"), k1.cast("string"), b2.cast("string"), k2.cast("string"))
     to = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     band_, block_ = F.col("band"), F.col("block")
-    same = F.transform(to(F.col("own_blocks")), lambda k: F.struct(task(band_, F.least(k, block_), band_, F.greatest(k, block_)).alias("task"), F.when(k == block_, 2).when(k > block_, 0).otherwise(1).alias("side")))
-    upper = F.transform(to(F.col("next_blocks")), lambda k: F.struct(task(band_, block_, band_ + 1, k).alias("task"), F.lit(0).alias("side")))
+    same = F.transform(F.filter(to(F.col("own_blocks")), lambda k: k != block_), lambda k: F.struct(task(band_, F.least(k, block_), band_, F.greatest(k, block_)).alias("task"), F.when(k > block_, 0).otherwise(1).alias("side")))
+    upper = F.transform(to(F.coalesce("next_blocks", F.lit(1))), lambda k: F.struct(task(band_, block_, band_ + 1, k).alias("task"), F.when(k == 0, 2).otherwise(0).alias("side")))
     lower = F.transform(to(F.col("last_blocks")), lambda k: F.struct(task(band_ - 1, k, band_, block_).alias("task"), F.lit(1).alias("side")))
-    alone = F.array(F.struct(task(F.lit(0), F.lit(0), F.lit(0), F.lit(0)).alias("task"), F.lit(2).alias("side")))
+    alone = F.array(F.struct(F.col("component").cast("string").alias("task"), F.lit(2).alias("side")))
     return own.select("set_id", F.explode(F.when(F.col("all_blocks") == 1, alone).otherwise(F.concat(same, upper, lower))).alias("_t")).select("set_id", "_t.*")
 
 
@@ -281,14 +301,23 @@ def verified(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
                 if t != task:
                     yield out(held)
                     task, held = t, {}
-                held[name] = side, np.frombuffer(data, U64)
+                held[name] = side, data
         yield out(held)
 
     def out(held: dict) -> pa.RecordBatch:
         links = []
         if len(held) > 1:
-            names, side = list(held), np.array([s for s, _ in held.values()])
-            links = [(names[i], names[j]) for i, j in tree(similar([s for _, s in held.values()], side != 1, side != 0, percent))]
+            order = sorted(held, key=lambda name: held[name][0] == 1)
+            sets = [unpacked(held[name][1]) for name in order]
+            n = sum(side != 1 for side, _ in held.values())
+            found = np.zeros((len(sets), len(sets)), bool)
+            if any(side == 2 for side, _ in held.values()):
+                found[:n, :n] = similar(sets[:n], sets[:n], percent)
+                np.fill_diagonal(found, False)
+            if 0 < n < len(sets):
+                found[:n, n:] = similar(sets[:n], sets[n:], percent)
+                found[n:, :n] = found[:n, n:].T
+            links = [(order[i], order[j]) for i, j in tree(found)]
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
     dealt = tasks.join(sets, "set_id").select("task", "side", "set_id", "elements").repartition("task").sortWithinPartitions("task")
@@ -301,10 +330,12 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shapes:
     many = rows.count()
     level, subparts = next((a, b) for most, a, b in shapes if many <= most)
     chains = cut(thinned(candidates(docs, words, percent, level, subparts)))
+    release(docs)
     close = components(chains).withColumnRenamed("node", "set_id")
     names = rows.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"))
     members = cut(names.join(close, "set_id"))
     links = cut(verified(members_sets(docs, members, words), blocks(members.drop("least"), percent), percent))
+    release(docs)
     linked = components(links).withColumnRenamed("node", "set_id")
     together = names.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = together.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -319,6 +350,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Documents that are alone stay as they are. Of repeated rows with the doc_id that stays, one stays; where no
     document of a component has a doc_id, one of each text stays.
     """
+    docs, back = carried(docs, "doc_id", "text")
     found = cut(joined(docs, words, percent))
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     sets = found.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count()
@@ -334,7 +366,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
             named = stay.filter("doc_id is not null").select("text").distinct()
             unnamed = unnamed.join(named, "text", "left_anti")
         stay = stay.filter("doc_id is not null").unionByName(unnamed)
-    return stay.select(*docs.columns)
+    return back(stay)
 
 
 ORACLE = r"""

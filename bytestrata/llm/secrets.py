@@ -21,7 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bytestrata.llm.common import pick
+from bytestrata.llm.common import carried, pick
 
 #: Kinds in the order in which spans of one start are listed; fixed values of the contract.
 KINDS = ("assign", "access", "hex", "markov")
@@ -145,8 +145,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced by a mark; n_chars follows the text. Texts without secrets, null too, stay as they are."""
-    table = fit(labelled_samples(docs))
-    found = spans(docs.withColumn("_was", F.col("text")), table)
+    own, back = carried(docs, "doc_id", "text", "n_chars")
+    table = fit(labelled_samples(own))
+    found = spans(own.withColumn("_was", F.col("text")), table)
     found = found.withColumn("_all", F.array_sort(F.concat("assign", "access", "hex", "markov"))).drop("assign", "access", "hex", "markov")
     # spans of different kinds can overlap: each piece starts where the furthest span before it has ended
     step = F.aggregate(
@@ -159,7 +160,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     )
     text = F.when(F.size("_all") > 0, F.array_join(step, mark)).otherwise(F.col("_was"))
     out = found.withColumn("text", text).drop("_all", "_was")
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    return back(out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))))
 
 
 ORACLE = None

@@ -112,9 +112,8 @@ def _collapsed(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes[starts], texts[starts], texts[ends]
 
 
-def _repeated(texts: DataFrame, find, column: str) -> DataFrame:
+def _repeated(texts: DataFrame, find, column: str, least: int, gram: int) -> DataFrame:
     """Hashes that two different texts have. find: from a step's Passages to the rows and hashes in question."""
-    least, gram = LEAST, GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names, size = [], [], 0
@@ -142,13 +141,13 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     """(text_id, spans): for every text with words that another text repeats, the maximal spans (start, end), by words."""
     own = pick(docs, "text").filter("text is not null").select(F.xxhash64("text").alias("text_id"), "text")
 
-    grams = _map_of(_repeated(own, lambda p: (p.row, p.grams[p.at]), "gram"), "gram")
+    grams = _map_of(_repeated(own, lambda p: (p.row, p.grams[p.at]), "gram", least, gram), "gram")
 
     def extended(p: Passages) -> tuple[np.ndarray, np.ndarray]:
         row, _, hashes = p.around(_in_map(grams, p.grams[p.at]))
         return row, hashes
 
-    passages = cut(_repeated(own, extended, "passage"))
+    passages = cut(_repeated(own, extended, "passage", least, gram))
     known = _map_of(passages, "passage")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +174,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     return found.groupBy("text_id").agg(F.collect_set("start").alias("starts")).mapInArrow(joined, "text_id long, spans array<struct<start:int,end:int>>")
 
 
-def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """Every document with a passage that another document repeats: doc_id, n_words, n_repeated, n_spans and spans.
 
     spans lists start:end by words, end exclusive, comma-joined. A document with an equal copy repeats as a whole.
@@ -183,7 +182,7 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     own = pick(docs, "doc_id", "text").filter("text is not null")
     own = cut(own.select("doc_id", F.xxhash64("text").alias("text_id"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("int").alias("n_words")))
     copies = own.filter(F.col("n_words") >= least).groupBy("text_id").agg(F.count("*").alias("copies")).filter("copies > 1")
-    spans = cut(repeated_spans(docs, least))
+    spans = cut(repeated_spans(docs, least, gram))
     marked = spans.join(copies, "text_id", "full")
     out = own.join(marked, "text_id")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bytestrata.llm.common import _LOWER, U64, held_out, learning_rows, mix, pick, span_hashes, spans, steps
+from bytestrata.llm.common import _LOWER, U64, carried, held_out, learning_rows, mix, pick, span_hashes, spans, steps
 
 BITS = 20
 #: Labelled documents to learn from, at most.
@@ -138,4 +138,5 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    return score(docs, learn(docs, labels), tuple(docs.columns)).filter(F.col("score") < threshold).select(*docs.columns)
+    own, back = carried(docs, "doc_id", "text")
+    return back(score(own, learn(own, labels), tuple(own.columns)).filter(F.col("score") < threshold))
