@@ -8,8 +8,10 @@ that two similar sets differ by at most `level` elements in some part, and each
 second-level parts: at most `level` of them differ, so that some subset of the others is equal. The hash
 of a set's elements in such a subset is a signature, and similar sets share one.
 
-Sets with a common signature are candidates. Candidates are linked in chains, not in all pairs, and the
-components of these chains hold every pair that can be similar. Within a component, blocks of bounded
+Sets with a common signature are candidates. Where just two sets share one, they are candidates only if the
+counts of their elements by cell differ by no more than similar sets' may, which is a bound that every similar pair
+keeps. Other candidates are linked in chains, not in all pairs, and the components of all links hold every pair
+that can be similar. Within a component, blocks of bounded
 size are compared by counting common elements, each pair exactly; only a spanning forest of the links leaves a
 task. Equal sets are one set throughout, so copies cost nothing.
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from bytestrata.llm.common import U64, carried, cut, gather, mix, pick, release, shingle_hashes, steps, word_hashes
-from bytestrata.llm.components import components, thinned
+from bytestrata.llm.components import components, forest, thinned
 
 WORDS, PERCENT = 4, 85
 #: (documents, level, subparts): up to so many documents, the differences allowed in a first-level part and the
@@ -41,10 +43,14 @@ WORDS, PERCENT = 4, 85
 #: and make more of them. All of them find every similar pair; they follow the corpus so that the expected number
 #: of dissimilar partners of a set stays small.
 SHAPES = ((1_000_000, 1, 3), (10_000_000, 1, 4), (1_000_000_000, 2, 6), (math.inf, 3, 8))
+#: The same for similarities below 0.85, whose signatures have fewer elements.
+LOWER_SHAPES = ((1_000_000, 1, 4), (100_000_000, 2, 6), (math.inf, 3, 8))
 #: The most sets and elements of a block, about.
 BLOCK_SETS, BLOCK_ELEMENTS = 3072, 3_000_000
 #: Leading bytes of an element's hash that are sent to be compared, and leading bits of a signature.
 ELEMENT_BYTES, SIGNATURE_BITS = 5, 48
+#: Cells of a set's count vector.
+CELLS = 256
 _MAP_BITS = 24
 
 
@@ -169,20 +175,24 @@ def tree(found: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and set_id (null for the empty set) of every document."""
+    """doc_id, n_shingles, set_id (null for the empty set) and counts (elements by cell, 255 at most) of every document."""
     own = pick(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in document_sets(batch, words):
                 names = [set_id(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "set_id"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([cell_counts(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_id", "counts"])
 
-    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, n_shingles long, set_id long")
+    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, n_shingles long, set_id long, counts binary")
+
+
+def cell_counts(elements: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((elements % U64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
 def candidates(docs: DataFrame, words: int, percent: int, level: int, subparts: int) -> DataFrame:
-    """Links (a, b) between sets, so that sets with a common signature are connected."""
+    """(a, b, sure): links that connect the sets of each signature. Those that are not sure stand for a signature of two sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, seen = Signatures(percent, level, subparts), set()
@@ -209,20 +219,64 @@ def candidates(docs: DataFrame, words: int, percent: int, level: int, subparts:
         names, found = names[order], found[order]
         lead = np.ones(len(found), bool)
         lead[1:] = found[1:] != found[:-1]
-        leader = names[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-        other = ~lead & (leader != names)
+        group = np.cumsum(lead) - 1
+        many = np.bincount(group)[group] > 2
+        leader = names[np.flatnonzero(lead)[group]]
+        other = ~lead & many
         pairs = np.unique(np.stack((leader[other], names[other]), 1), axis=0)
         with np.errstate(over="ignore"):
             # links that are found already go to any task
             any_key = -(mix(pairs[:, 0].view(U64) * U64(3) + pairs[:, 1].view(U64)) >> U64(16)).view(np.int64) - 1 if len(pairs) else np.zeros(0, np.int64)
-        # in the order of the documents, whose names then compress well in the shuffle
-        leaders = np.argsort(order[lead])
-        yield pa.RecordBatch.from_arrays([pa.array(found[lead][leaders]), pa.array(names[lead][leaders]), pa.nulls(len(leaders), pa.int64())], ["signature", "b", "a"])
+        # of more than two sets that share a signature here one is sent, marked by itself; rows stand in the order of the
+        # documents, whose names then compress well in the shuffle
+        keep = np.flatnonzero(lead | ~many)
+        keep = keep[np.argsort(order[keep])]
+        yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(names[keep]), pa.array(names[keep], mask=~many[keep])], ["signature", "b", "a"])
         yield pa.RecordBatch.from_arrays([pa.array(any_key), pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["signature", "b", "a"])
 
     sent = pick(docs, "text").mapInArrow(run, "signature long, b long, a long")
-    last = F.lag("b").over(W.partitionBy("signature").orderBy("b"))
-    return sent.withColumn("last", F.when(F.col("a").isNull(), last)).select(F.coalesce("a", "last").alias("a"), "b").filter("a <> b")
+    order = W.partitionBy("signature").orderBy("b")
+    more = F.coalesce("a", F.lag("a").over(order), F.lag("b", 2).over(order), F.lead("b").over(order)).isNotNull()
+    known = F.col("a").isNotNull() & (F.col("a") != F.col("b"))
+    linked = sent.withColumn("last", F.lag("b").over(order)).withColumn("sure", more)
+    linked = linked.select(F.when(known, F.col("a")).otherwise(F.col("last")).alias("a"), "b", "sure").filter("a <> b")
+    return linked.mapInArrow(_fewer, "a long, b long, sure boolean")
+
+
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sure links as a spanning forest, the others once each."""
+    sure: list[tuple[int, int]] = []
+    for batch in batches:
+        pairs = np.stack((batch.column(0).to_numpy(), batch.column(1).to_numpy()), 1)
+        marks = batch.column(2).to_numpy(zero_copy_only=False)
+        pairs.sort(axis=1)
+        sure = forest([*sure, *map(tuple, np.unique(pairs[marks], axis=0).tolist())])
+        rest = np.unique(pairs[~marks], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(rest[:, 0]), pa.array(rest[:, 1]), pa.array(np.zeros(len(rest), bool))], ["a", "b", "sure"])
+        if len(sure) > 1_000_000:  # what a task holds is bounded
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sure], pa.int64()), pa.array([b for _, b in sure], pa.int64()), pa.array([True] * len(sure))], ["a", "b", "sure"])
+            sure = []
+    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sure], pa.int64()), pa.array([b for _, b in sure], pa.int64()), pa.array([True] * len(sure), pa.bool_())], ["a", "b", "sure"])
+
+
+def possible(links: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) whose sets' counts by cell leave it possible that they are similar.
+
+    The counts of two sets differ by no more, in sum, than the sets do, and clipped counts by no more than counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for c in (2, 3)]
+            apart = np.abs(counts[0] - counts[1]).sum(1)
+            keep = pa.array(apart * (100 + percent) <= batch.column(4).to_numpy() * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    own = links.select("a", "b").distinct()
+    for end in ("a", "b"):
+        own = own.join(names.select(F.col("set_id").alias(end), F.col("n_shingles").alias(f"{end}_n"), F.col("counts").alias(f"{end}_counts")), end)
+    fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    return own.filter(fits).select("a", "b", "a_counts", "b_counts", (F.col("a_n") + F.col("b_n")).alias("n")).mapInArrow(run, "a long, b long")
 
 
 def _bitmap(members: DataFrame) -> np.ndarray:
@@ -324,23 +378,25 @@ def verified(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shapes: tuple = SHAPES) -> DataFrame:
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shapes: tuple | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: the least doc_id that links reach, its own included."""
     rows = cut(sets_of(docs, words))
     many = rows.count()
-    level, subparts = next((a, b) for most, a, b in shapes if many <= most)
-    chains = cut(thinned(candidates(docs, words, percent, level, subparts)))
+    level, subparts = next((a, b) for most, a, b in shapes or (SHAPES if percent >= 85 else LOWER_SHAPES) if many <= most)
+    chains = cut(candidates(docs, words, percent, level, subparts))
     release(docs)
-    close = components(chains).withColumnRenamed("node", "set_id")
-    names = rows.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"))
-    members = cut(names.join(close, "set_id"))
-    links = cut(verified(members_sets(docs, members, words), blocks(members.drop("least"), percent), percent))
+    names = rows.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.min("counts").alias("counts"))
+    names = cut(names)
+    links = chains.filter("sure").select("a", "b").unionByName(possible(chains.filter("not sure"), names, percent))
+    close = components(thinned(links)).withColumnRenamed("node", "set_id")
+    members = cut(names.select("set_id", "n_shingles").join(close, "set_id"))
+    links = cut(verified(members_sets(docs, members, words), blocks(members, percent), percent))
     release(docs)
     linked = components(links).withColumnRenamed("node", "set_id")
-    together = names.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    together = names.select("set_id", "least").join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = together.groupBy("component").agg(F.min("least").alias("component_id"))
     found = cut(together.select("set_id", "component").join(least, "component").drop("component"))
-    out = rows.join(found, "set_id", "left")
+    out = rows.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
