@@ -30,8 +30,8 @@ from bytestrata.llm.common import _BASE, _INVERSE, _POW, _IPOW, U64, _powers, cu
 
 #: The least words of a passage, and of the grams that stand for suffixes.
 LEAST, GRAM = 50, 25
-#: Bits of the maps of repeated grams and passages: 8 MB each, at any size of the corpus.
-MAP_BITS = 26
+#: Leading bits of hashes that the maps of repeated grams and passages tell apart: 2 MB each, at any size of the corpus.
+MAP_BITS = 24
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
