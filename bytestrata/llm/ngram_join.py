@@ -284,8 +284,8 @@ def _bitmap(members: DataFrame) -> np.ndarray:
     at = f"shiftrightunsigned(set_id, {64 - _MAP_BITS})"
     bits = members.selectExpr(f"{at} div 64 AS word", f"shiftleft(1L, cast({at} % 64 AS int)) AS bit")
     out = np.zeros(1 << (_MAP_BITS - 6), np.int64)
-    for word, bit in bits.groupBy("word").agg(F.bit_or("bit")).collect():
-        out[word] = bit
+    got = bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
