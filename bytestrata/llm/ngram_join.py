@@ -92,25 +92,41 @@ class Signatures:
             cells = many * self.subparts
             bounds = np.array([(i << 64) // cells for i in range(1, cells)], U64) if apart else None
             count = many * len(self.subsets) if apart else 1
-            salts = mix(U64(instance + 1) * U64(0xD6E8FEB86659FD93) + np.arange(1, count + 1, dtype=U64))
+            with np.errstate(over="ignore"):
+                salts = mix(np.arange(1, count + 1, dtype=U64) * U64(instance + 1) * U64(0xD6E8FEB86659FD93))
             self.plans[instance] = many, bounds, salts
         return self.plans[instance]
 
     def of(self, elements: np.ndarray) -> np.ndarray:
-        """All signatures of a set that is not empty, given in ascending order."""
+        """All signatures of a set that is not empty, given in ascending order.
+
+        A signature of no elements would be shared by very many sets. Similar sets that share one also share a signature of
+        an independent division of the domain, so each of these, together with the empty one, stands in its place.
+        """
         own = band(len(elements), self.percent)
+        out, again = [], None
+        for instance in (own, own + 1):  # bands instance - 1 and instance meet in an instance
+            found, empty = self._plain(elements, instance)
+            if empty.any():
+                with np.errstate(over="ignore"):
+                    again = np.sort(mix(elements * U64(3) + U64(7))) if again is None else again
+                    other = mix(self._plain(again, instance)[0] + U64(5))
+                    out.append(mix(found[empty][:, None] + other[None, :]).ravel())
+                found = found[~empty]
+            out.append(found)
+        return np.concatenate(out)
+
+    def _plain(self, elements: np.ndarray, instance: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of an instance, and which of them have no elements."""
+        many, bounds, salts = self.plan(instance)
         with np.errstate(over="ignore"):
             sums = np.concatenate((np.zeros(1, U64), np.cumsum(mix(elements + U64(1)), dtype=U64)))
-            out = []
-            for instance in (own, own + 1):  # bands instance - 1 and instance meet in an instance
-                many, bounds, salts = self.plan(instance)
-                if bounds is None:
-                    out.append(mix(sums[-1:] + salts))
-                    continue
-                at = np.concatenate(([0], np.searchsorted(elements, bounds), [len(elements)]))
-                cells = (sums[at[1:]] - sums[at[:-1]]).reshape(many, self.subparts)
-                out.append(mix((cells @ self.subsets.T).ravel() + salts))
-            return np.concatenate(out)
+            if bounds is None:
+                return mix(sums[-1:] + salts), np.zeros(1, bool)
+            at = np.concatenate(([0], np.searchsorted(elements, bounds), [len(elements)]))
+            cells = (sums[at[1:]] - sums[at[:-1]]).reshape(many, self.subparts)
+            size = np.diff(at).reshape(many, self.subparts) @ self.subsets.T.astype(np.int64)
+            return mix((cells @ self.subsets.T).ravel() + salts), size.ravel() == 0
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
