@@ -30,8 +30,9 @@ from bytestrata.llm.common import _BASE, _INVERSE, _POW, _IPOW, U64, _powers, cu
 
 #: The least words of a passage, and of the grams that stand for suffixes.
 LEAST, GRAM = 50, 25
-#: Leading bits of hashes that the maps of repeated grams and passages tell apart: 2 MB each, at any size of the corpus.
-MAP_BITS = 24
+#: Bits of a place in the maps of repeated grams and passages (Bloom filters with three places for each hash): 4 MB each,
+#: at any size of the corpus.
+MAP_BITS = 25
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -87,9 +88,12 @@ class Passages:
 
 
 def _map_of(repeated: DataFrame, column: str) -> np.ndarray:
-    """Bit map of the leading MAP_BITS bits of hashes, gathered as at most 2^(MAP_BITS - 6) words of 64 bits."""
-    at = f"shiftrightunsigned({column}, {64 - MAP_BITS})"
-    bits = repeated.selectExpr(f"{at} div 64 AS word", f"shiftleft(1L, cast({at} % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    """Bloom filter of a column of hashes, gathered as at most 2^(MAP_BITS - 6) words of 64 bits."""
+    mask = (1 << MAP_BITS) - 1
+    first, second = f"shiftrightunsigned({column}, {64 - MAP_BITS})", f"(shiftrightunsigned({column}, {64 - 2 * MAP_BITS}) & {mask})"
+    third = f"((shiftleft({column}, 11) | shiftrightunsigned({column}, 53)) & {mask})"
+    places = repeated.select(F.explode(F.expr(f"array({first}, {second}, {third})")).alias("at"))
+    bits = places.selectExpr("at div 64 AS word", "shiftleft(1L, cast(at % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bit"))
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
     got = bits.toPandas()
     out[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
@@ -97,8 +101,11 @@ def _map_of(repeated: DataFrame, column: str) -> np.ndarray:
 
 
 def _in_map(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> U64(64 - MAP_BITS)
-    return (words[(at >> U64(6)).astype(np.int64)].view(U64) >> (at & U64(63))) & U64(1) == 1
+    mask = U64((1 << MAP_BITS) - 1)
+    found = np.ones(len(hashes), bool)
+    for at in (hashes >> U64(64 - MAP_BITS), hashes >> U64(64 - 2 * MAP_BITS) & mask, (hashes << U64(11) | hashes >> U64(53)) & mask):
+        found &= words[(at >> U64(6)).astype(np.int64)].view(U64) >> (at & U64(63)) & U64(1) == 1
+    return found
 
 
 def _collapsed(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +130,7 @@ def _repeated(texts: DataFrame, find, column: str, least: int, gram: int) -> Dat
                 held.append(hashes)
                 names.append(part.column(0).to_numpy()[row])
                 size += len(hashes)
-            if size > 1_000_000:
+            if size > 300_000:
                 yield out(held, names)
                 held, names, size = [], [], 0
         if size:
