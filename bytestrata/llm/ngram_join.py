@@ -33,6 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from bytestrata.llm.common import U64, carried, cut, gather, mix, pick, release, shingle_hashes, steps, word_hashes
 from bytestrata.llm.components import components, forest, thinned
@@ -394,8 +395,8 @@ def verified(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shapes: tuple | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document: the least doc_id that links reach, its own included."""
+def _linked(docs: DataFrame, words: int, percent: int, shapes: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of sets_of(), and (set_id, least, component) of their sets: the least doc_id that has a set, and what it is linked with."""
     rows = cut(sets_of(docs, words))
     many = rows.count()
     level, subparts = next((a, b) for most, a, b in shapes or (SHAPES if percent >= 85 else LOWER_SHAPES) if many <= most)
@@ -410,34 +411,47 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shapes:
     release(docs)
     linked = components(links).withColumnRenamed("node", "set_id")
     together = names.select("set_id", "least").join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    return rows, together
+
+
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shapes: tuple | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document: the least doc_id that links reach, its own included."""
+    rows, together = _linked(docs, words, percent, shapes)
     least = together.groupBy("component").agg(F.min("least").alias("component_id"))
     found = cut(together.select("set_id", "component").join(least, "component").drop("component"))
     out = rows.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _with_sets(docs: DataFrame, words: int, name: str) -> DataFrame:
+    """Adds a column with the set_id of each document (null for the empty set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in document_sets(batch, words):
+                names = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, names], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that are similar to others: of each component the one with the least doc_id stays.
+    """The documents without those that are similar to others: of each component one row stays, that with the least doc_id.
 
-    Documents that are alone stay as they are. Of repeated rows with the doc_id that stays, one stays; where no
-    document of a component has a doc_id, one of each text stays.
+    Null doc_ids come last; of sets with the same least doc_id, or with none, the least set_id stays, and of rows with the
+    doc_id and the set that stay, any one. Documents that are alone, and texts without words, stay as they are.
     """
     docs, back = carried(docs, "doc_id", "text")
-    found = cut(joined(docs, words, percent))
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    sets = found.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count()
-    repeated = sets.filter("count > 1").select("doc_id")
-    stay = docs.join(gone, "doc_id", "left_anti")
-    if not repeated.isEmpty():
-        stay = stay.join(repeated, "doc_id", "left_anti").unionByName(stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if not found.filter("doc_id is null").isEmpty():
-        # where a component has a named document, its unnamed ones go
-        shadowed = found.filter("doc_id is null and component_id is not null").isEmpty()
-        unnamed = stay.filter("doc_id is null").dropDuplicates(["text"])
-        if not shadowed:
-            named = stay.filter("doc_id is not null").select("text").distinct()
-            unnamed = unnamed.join(named, "text", "left_anti")
-        stay = stay.filter("doc_id is not null").unionByName(unnamed)
+    rows, together = _linked(docs, words, percent)
+    together = cut(together)
+    first = together.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "set_id")).alias("first"), F.count("*").alias("sets"))
+    linked = together.join(first.filter("sets > 1"), "component")
+    gone = cut(linked.filter("set_id <> first.set_id").select(F.col("set_id").alias("_set")))
+    crowded = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("_least"), F.count("*").alias("rows")).filter("rows > 1")
+    crowded = cut(crowded.select(F.col("set_id").alias("_set"), "_least").join(gone, "_set", "left_anti"))
+    stay = _with_sets(docs, words, "_set").join(gone, "_set", "left_anti")
+    copies = stay.join(crowded, "_set").filter(F.col("doc_id").eqNullSafe(F.col("_least"))).drop("_least").dropDuplicates(["_set"])
+    stay = stay.join(crowded, "_set", "left_anti").unionByName(copies)
     return back(stay)
 
 
