@@ -1,8 +1,8 @@
 """Secret scans: base rules plus character Markov models, with DataFrame functions only.
 
-Base rules are three regular expressions. Beyond them, every long run of key characters is scored by two
-first-order character Markov models, one of random strings and one of ordinary identifiers; a run is a
-secret if its log-likelihood ratio per transition reaches a threshold. Both models are counted from
+Base rules are three regular expressions. Beyond them, every long run of key characters, or each long piece
+of it that base spans leave open, is scored by two first-order character Markov models, one of random strings
+and one of ordinary identifiers; it is a secret if its log-likelihood ratio per transition reaches a threshold. Both models are counted from
 labelled samples: random strings are digests of numbers in several alphabets and the values that the base
 rules find, identifiers are the other words of a bounded sample of documents (SAMPLE_DOCS of them, those
 with the lowest hash of doc_id), as they are and in upper case.
@@ -30,7 +30,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 #: Runs that the models score, and the least mean log-likelihood ratio of a secret.
-RUN = r"[A-Za-z0-9+/_-]{20,}"
+RUN_LEAST = 20
+RUN = rf"[A-Za-z0-9+/_-]{{{RUN_LEAST},}}"
 SAMPLE_RUN = r"[A-Za-z0-9+/_-]{8,}"
 THRESHOLD = 0.5
 SAMPLE_DOCS = 4096
@@ -86,7 +87,9 @@ def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFra
     some = own.join(F.broadcast(ids), "doc_id", "left_semi").filter(F.col("text").isNotNull())
     known = base_spans(some.select("text"))
     values = known.select(F.explode(F.concat(F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))).alias("run"))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
+    # what stands in one run with a key is not known to be ordinary
+    around = lambda p: rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]*{p}[A-Za-z0-9+/_-]*"
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), around(ACCESS), " "), around(HEX), " ")
     words = known.select(F.explode(F.regexp_extract_all(plain, F.lit(SAMPLE_RUN), F.lit(0))).alias("run"))
     ordinary = words.select(F.explode(F.array("run", F.upper("run"))).alias("run"))
     random = _random_strings(docs.sparkSession).unionByName(values)
@@ -117,12 +120,24 @@ def ratio(run: Column, table: list[float]) -> Column:
     return total / (F.length(run) - 1)
 
 
+def _open_pieces(r: Column) -> Column:
+    """The pieces of a run that the base spans leave open, of RUN_LEAST characters and more, as spans."""
+    over = F.filter(F.concat("assign", "access", "hex"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+    # spans by start, which can overlap: a piece ends where one starts, and the next starts where the furthest one so far has ended
+    ends = F.struct(r["end"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end"))
+    piece = lambda a, b: F.struct(a["at"].alias("start"), F.lit(3).alias("kind"), b["start"].alias("end"))
+    return F.aggregate(
+        F.concat(F.array_sort(over), F.array(ends)), F.struct(r["start"].alias("at"), F.expr(_NO_SPANS).alias("found")),
+        lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.when(b["start"] - a["at"] >= RUN_LEAST, F.concat(a["found"], F.array(piece(a, b)))).otherwise(a["found"]).alias("found")),
+        lambda a: a["found"],
+    )
+
+
 def spans(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """Adds assign, access, hex and markov (arrays of spans) to a table with column text, which gets "" for null."""
     df = base_spans(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     df = _spans(df, "_runs", RUN, 3)
-    overlaps = lambda r: F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    df = df.withColumn("_runs", F.filter("_runs", lambda r: ~overlaps(r)))
+    df = df.withColumn("_runs", F.flatten(F.transform("_runs", _open_pieces)))
     run = lambda r: F.substr("text", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))
     return df.withColumn("markov", F.filter("_runs", lambda r: ratio(run(r), table) >= threshold)).drop("_runs")
 
