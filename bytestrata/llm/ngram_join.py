@@ -4,24 +4,32 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Sets who
 reaches s differ in at most (1 - s) / (1 + s) of the sum of their sizes. Sizes fall into bands whose ends
 have the ratio s, so that similar sets stand in one band or in neighbouring ones, and every set takes part in
 two instances of neighbouring bands. An instance divides the domain of hashes into first-level parts, so many
-that two similar sets differ by at most `level` elements in some part, and each of these into `subparts`
-second-level parts: at most `level` of them differ, so that some subset of the others is equal. The hash
-of a set's elements in such a subset is a signature, and similar sets share one.
-
-Sets with a common signature are candidates. Where just two sets share one, they are candidates only if the
-counts of their elements by cell differ by no more than similar sets' may, which is a bound that every similar pair
-keeps. Other candidates are linked in chains, not in all pairs, and the components of all links hold every pair
-that can be similar. Within a component, blocks of bounded
-size are compared by counting common elements, each pair exactly; only a spanning forest of the links leaves a
-task. Equal sets are one set throughout, so copies cost nothing.
-
-Hot signatures: a task sends a signature once per batch and links the sets that share it by itself.
+that two similar sets differ by at most LEVEL elements in `spare` of them at least, and each of these into SUBPARTS
+second-level parts: at most LEVEL of them differ, so that some subset of the others is equal. The hash
+of a set's elements in such a subset is a signature, and similar sets share one in each of the spare parts.
+
+A signature of too few elements would be shared by very many sets, and is not sent. Where fewer than `spare` parts of a
+set have one, some signature that it shares with a similar set is still sent. Otherwise both sets have that many parts
+with a weak signature, and both also send the signatures of an independent division of the domain, once: signatures
+are added, not multiplied. Of the last of DIVISIONS divisions weak signatures are sent too, so that no pair is lost. The
+shape is the same at any number of documents.
+
+Sets with a common signature are candidates: stars around one of them. A star's links are ruled out by the counts of
+elements by cell, which differ by no more than similar sets' may. Where a star of several sets loses a link, all
+of its sets are compared with each other by counts, in blocks, so that what stands by chance in one signature does
+not chain dissimilar sets together. A spanning forest of the links that are left is then compared element by element.
+Only where that leaves a component of candidates in several parts, the sets outside the largest part are compared exactly
+with each other and with the largest part, in blocks of bounded size; only spanning forests of links leave a task.
+Equal sets are one set throughout, so copies cost nothing.
+
+What is shuffled: packed signatures by range of their value, 40 bits of each beside the range, and 16 bits for the set. A
+range is read as a stream and holds one entry for each signature, however many sets share it.
 
 Defined results: a null text is the empty text; a text without words has an empty set and is linked with
 nothing; a text of fewer words than a shingle has its whole sequence as one; ties and repeated rows are copies,
 linked by their equal sets; a null doc_id is never a component's name unless all of its documents have none;
-an empty table gives an empty result; other columns are ignored. Sets are told apart by 64-bit hashes, and their
-elements are compared by 40 bits of theirs.
+an empty table gives an empty result; other columns are ignored. Sets are told apart by 128-bit hashes, and their
+elements are compared by 64 bits.
 """
 
 from __future__ import annotations
@@ -32,27 +40,30 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from bytestrata.llm.common import U64, carried, cut, gather, mix, pick, release, shingle_hashes, steps, word_hashes
-from bytestrata.llm.components import components, forest, thinned
+from bytestrata.llm.common import U64, carried, cut, gather, mix, partitions, pick, release, shingle_hashes, steps, word_hashes
+from bytestrata.llm.components import components
 
 WORDS, PERCENT = 4, 85
-#: (documents, level, subparts): up to so many documents, the differences allowed in a first-level part and the
-#: number of second-level parts. More of both make signatures of more elements, which fewer dissimilar sets share,
-#: and make more of them. All of them find every similar pair; they follow the corpus so that the expected number
-#: of dissimilar partners of a set stays small.
-SHAPES = ((1_000_000, 1, 3), (10_000_000, 1, 4), (1_000_000_000, 2, 6), (math.inf, 3, 8))
-#: The same for similarities below 0.85, whose signatures have fewer elements.
-LOWER_SHAPES = ((1_000_000, 1, 4), (100_000_000, 2, 6), (math.inf, 3, 8))
+#: Differences allowed in a first-level part, second-level parts, and independent divisions of the domain.
+LEVEL, SUBPARTS, DIVISIONS = 1, 4, 4
+#: Parts beyond the least number, as a share of it, once it is MANY_PARTS.
+SPARE, MANY_PARTS = 0.035, 8
 #: The most sets and elements of a block, about.
-BLOCK_SETS, BLOCK_ELEMENTS = 3072, 3_000_000
-#: Leading bytes of an element's hash that are sent to be compared, and leading bits of a signature.
-ELEMENT_BYTES, SIGNATURE_BITS = 5, 48
-#: Cells of a set's count vector.
-CELLS = 256
-_MAP_BITS = 24
+BLOCK_SETS, BLOCK_ELEMENTS = 256, 2_000_000
+#: Entries that a task packs at once, sets that they can come from, and entries of a range.
+HELD, HELD_SETS, RANGE = 2_000_000, 1 << 16, 1 << 21
+#: Elements of a set for each cell of its count vector, about.
+PER_CELL = 4
+_NAME = 0x9E3779B97F4A7C15
+_LOW40 = U64((1 << 40) - 1)
+
+
+def least_elements(percent: int) -> int:
+    """Elements of the smallest signature that is not weak. Signatures of lower similarities have fewer elements."""
+    return 2 if percent >= 85 else 1
 
 
 def document_sets(texts: pa.RecordBatch, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -62,11 +73,13 @@ def document_sets(texts: pa.RecordBatch, words: int) -> Iterator[tuple[pa.Record
         yield part, [np.unique(hashes[a:b]) for a, b in zip(first, first[1:])]
 
 
-def set_id(elements: np.ndarray) -> int:
-    """64-bit name of a set, as a signed number."""
+def set_name(elements: np.ndarray) -> tuple[int, int]:
+    """128-bit name of a set, as two signed numbers."""
     with np.errstate(over="ignore"):
-        total = mix(elements).sum(dtype=U64) + U64(len(elements)) * U64(0x9E3779B97F4A7C15)
-        return int(mix(np.array([total], U64)).view(np.int64)[0])
+        size = U64(len(elements)) * U64(_NAME)
+        sums = np.array([mix(elements).sum(dtype=U64), mix(elements ^ U64(_NAME)).sum(dtype=U64)], U64) + size
+        high, low = mix(sums).view(np.int64).tolist()
+    return high, low
 
 
 def band(size: int, percent: int) -> int:
@@ -77,57 +90,60 @@ def band(size: int, percent: int) -> int:
 class Signatures:
     """The signatures of sets for one similarity."""
 
-    def __init__(self, percent: int, level: int, subparts: int) -> None:
-        self.percent, self.level, self.subparts = percent, level, subparts
-        self.subsets = np.zeros((math.comb(subparts, level), subparts), U64)
-        for row, kept in enumerate(combinations(range(subparts), subparts - level)):
-            self.subsets[row, list(kept)] = 1
-        self.plans: dict[int, tuple[int, np.ndarray | None, np.ndarray]] = {}
-
-    def plan(self, instance: int) -> tuple[int, np.ndarray | None, np.ndarray]:
-        """First-level parts of an instance, the bounds of its second-level parts, and the salts of its signatures."""
-        if instance not in self.plans:
-            largest = math.ceil((100 / self.percent) ** (instance + 1)) + 1
-            apart = 2 * largest * (100 - self.percent) // (100 + self.percent)
-            many = 1 if not apart else math.ceil((apart + 1) / (self.level + 1))
+    def __init__(self, percent: int, level: int = LEVEL, subparts: int = SUBPARTS) -> None:
+        self.percent, self.level, self.subparts, self.least = percent, level, subparts, least_elements(percent)
+        self.subsets = np.zeros((subparts, math.comb(subparts, level)), np.int64)
+        for column, kept in enumerate(combinations(range(subparts), subparts - level)):
+            self.subsets[list(kept), column] = 1
+        self.plans: dict[tuple[int, int], tuple[int, int, np.ndarray, np.ndarray] | None] = {}
+
+    def plan(self, instance: int, division: int = 0) -> tuple[int, int, np.ndarray, np.ndarray] | None:
+        """First-level parts and spare ones, bounds of second-level parts, and salts; None where similar sets are equal.
+
+        In an instance, sets of its band meet those of the band below, and these each other; a pair's sizes add up to no
+        more than the largest of both bands.
+        """
+        if (instance, division) not in self.plans:
+            largest = lambda i: int((100 / self.percent) ** (i + 1) * (1 + 1e-9))
+            apart = (largest(instance - 1) + largest(instance)) * (100 - self.percent) // (100 + self.percent)
+            bad = apart // (self.level + 1)
+            spare = 1 if bad < MANY_PARTS else 2 + math.ceil(SPARE * bad)
+            many = bad + spare
             cells = many * self.subparts
-            bounds = np.array([(i << 64) // cells for i in range(1, cells)], U64) if apart else None
-            count = many * len(self.subsets) if apart else 1
+            bounds = np.array([(i << 64) // cells for i in range(1, cells)], U64)
+            salts = np.arange(1, many * self.subsets.shape[1] + 1, dtype=U64)
             with np.errstate(over="ignore"):
-                salts = mix(np.arange(1, count + 1, dtype=U64) * U64(instance + 1) * U64(0xD6E8FEB86659FD93))
-            self.plans[instance] = many, bounds, salts
-        return self.plans[instance]
+                salts = mix(salts + U64(division << 56) + U64((instance + 1) << 40)).reshape(many, -1)
+            self.plans[instance, division] = (many, spare, bounds, salts) if apart else None
+        return self.plans[instance, division]
 
     def of(self, elements: np.ndarray) -> np.ndarray:
-        """All signatures of a set that is not empty, given in ascending order.
-
-        A signature of no elements would be shared by very many sets. Similar sets that share one also share a signature of
-        an independent division of the domain, so each of these, together with the empty one, stands in its place.
-        """
-        own = band(len(elements), self.percent)
-        out, again = [], None
-        for instance in (own, own + 1):  # bands instance - 1 and instance meet in an instance
-            found, empty = self._plain(elements, instance)
-            if empty.any():
-                with np.errstate(over="ignore"):
-                    again = np.sort(mix(elements * U64(3) + U64(7))) if again is None else again
-                    other = mix(self._plain(again, instance)[0] + U64(5))
-                    out.append(mix(found[empty][:, None] + other[None, :]).ravel())
-                found = found[~empty]
-            out.append(found)
+        """All signatures that are sent of a set that is not empty, given in ascending order."""
+        own, out, orders = band(len(elements), self.percent), [np.zeros(0, U64)], [elements]
+        for instance in (own, own + 1):
+            for division in range(DIVISIONS):
+                plan = self.plan(instance, division)
+                if plan is None:
+                    break
+                if division == len(orders):
+                    with np.errstate(over="ignore"):
+                        orders.append(np.sort(mix(elements * U64(2 * division + 1) + U64(division))))
+                found, weak = self._plain(orders[division], plan)
+                short = np.count_nonzero(weak.any(1)) >= plan[1]
+                out.append(found.ravel() if short and division == DIVISIONS - 1 else found[~weak])
+                if not short:
+                    break
         return np.concatenate(out)
 
-    def _plain(self, elements: np.ndarray, instance: int) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of an instance, and which of them have no elements."""
-        many, bounds, salts = self.plan(instance)
+    def _plain(self, elements: np.ndarray, plan: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures by first-level part, and which of them are weak."""
+        many, _, bounds, salts = plan
         with np.errstate(over="ignore"):
             sums = np.concatenate((np.zeros(1, U64), np.cumsum(mix(elements + U64(1)), dtype=U64)))
-            if bounds is None:
-                return mix(sums[-1:] + salts), np.zeros(1, bool)
             at = np.concatenate(([0], np.searchsorted(elements, bounds), [len(elements)]))
             cells = (sums[at[1:]] - sums[at[:-1]]).reshape(many, self.subparts)
-            size = np.diff(at).reshape(many, self.subparts) @ self.subsets.T.astype(np.int64)
-            return mix((cells @ self.subsets.T).ravel() + salts), size.ravel() == 0
+            size = np.diff(at).reshape(many, self.subparts)
+            return mix(cells @ self.subsets.astype(U64) + salts), size @ self.subsets < self.least
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -191,135 +207,269 @@ def tree(found: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+# --- sets and their counts -------------------------------------------------
+
+
+def cell_counts(elements: np.ndarray) -> bytes:
+    """Elements by cell, 255 at most. Cells are a power of two, so that vectors of different lengths fold onto each other."""
+    cells = 1 << max(4, (len(elements) // PER_CELL).bit_length())
+    return np.minimum(np.bincount((elements & U64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: bytes, cells: int) -> np.ndarray:
+    return np.frombuffer(counts, np.uint8).reshape(-1, cells).sum(0, dtype=np.int32)
+
+
+def maybe(left: list[bytes], left_n: np.ndarray, right: list[bytes], right_n: np.ndarray, percent: int) -> np.ndarray:
+    """Matrix of the pairs whose counts leave it possible that they are similar.
+
+    The counts of two sets differ by no more, in sum, than the sets do, and clipped or folded counts by no more than counts.
+    """
+    cells = min(map(len, left + right))
+    x, y = np.stack([folded(c, cells) for c in left]), np.stack([folded(c, cells) for c in right])
+    out = np.zeros((len(x), len(y)), bool)
+    step = max(1, (1 << 22) // y.size)
+    for a in range(0, len(x), step):
+        apart = np.abs(x[a : a + step, None, :] - y[None, :, :]).sum(2)
+        n, m = left_n[a : a + step, None], right_n[None, :]
+        out[a : a + step] = (apart * (100 + percent) <= (n + m) * (100 - percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    return out
+
+
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for the empty set) and counts (elements by cell, 255 at most) of every document."""
+    """doc_id, n_shingles, high and low (the set's name, null for the empty set) and counts of every document."""
     own = pick(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in document_sets(batch, words):
-                names = [set_id(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([cell_counts(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_id", "counts"])
+                names = [set_name(s) if len(s) else (None, None) for s in sets]
+                counts = pa.array([cell_counts(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()), counts], ["doc_id", "n_shingles", "high", "low", "counts"])
 
-    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, n_shingles long, set_id long, counts binary")
+    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, n_shingles long, high long, low long, counts binary")
 
 
-def cell_counts(elements: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((elements % U64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+# --- candidates ------------------------------------------------------------
+
+
+def packed(payload: np.ndarray) -> bytes:
+    """Ascending 40-bit numbers: the lower 32 bits of each after how many have each value of the upper 8, or all 5 bytes of a few."""
+    if len(payload) < 512:
+        return payload.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return np.bincount((payload >> U64(32)).astype(np.int64), minlength=256).astype("<u4").tobytes() + payload.astype("<u4").tobytes()
 
 
-def candidates(docs: DataFrame, words: int, percent: int, level: int, subparts: int) -> DataFrame:
-    """(a, b, sure): links that connect the sets of each signature. Those that are not sure stand for a signature of two sets."""
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    if n < 512:
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+        return out.view("<u8").ravel().astype(U64)
+    high = np.repeat(np.arange(256, dtype=U64), np.frombuffer(data, "<u4", 256))
+    return high << U64(32) | np.frombuffer(data, "<u4", offset=1024).astype(U64)
+
+
+def sent(docs: DataFrame, words: int, percent: int, ranges: int) -> DataFrame:
+    """(range, pack, signatures, sets): signatures of a range of a pack of sets, and the place in the pack of the set of each.
+
+    One more row of each pack, without signatures, has the names of its sets. A task packs a set once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, seen = Signatures(percent, level, subparts), set()
+        maker, seen = Signatures(percent), set()
         names, found, held = [], [], 0
         for batch in batches:
             for _, sets in document_sets(batch, words):
                 for s in sets:
-                    if len(s) and (name := set_id(s)) not in seen:
+                    if len(s) and (name := set_name(s)) not in seen:
                         seen.add(name)
                         own = maker.of(s)
-                        names.append(np.full(len(own), name, np.int64))
-                        found.append((own >> U64(64 - SIGNATURE_BITS)).view(np.int64))
-                        held += len(own)
-                if held > 1_500_000:
-                    yield from out(np.concatenate(names), np.concatenate(found))
-                    names, found, held = [], [], 0
+                        if len(own):
+                            names.append(name)
+                            found.append(own)
+                            held += len(own)
+                        if held >= HELD or len(names) == HELD_SETS:
+                            yield out(names, found)
+                            names, found, held = [], [], 0
             if len(seen) > 1_000_000:  # copies that come later are sent again, and meet their like by signature
                 seen.clear()
-        if held:
-            yield from out(np.concatenate(names), np.concatenate(found))
-
-    def out(names: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(found, kind="stable")
-        names, found = names[order], found[order]
-        lead = np.ones(len(found), bool)
-        lead[1:] = found[1:] != found[:-1]
-        group = np.cumsum(lead) - 1
-        many = np.bincount(group)[group] > 2
-        leader = names[np.flatnonzero(lead)[group]]
-        other = ~lead & many
-        pairs = np.unique(np.stack((leader[other], names[other]), 1), axis=0)
+        if names:
+            yield out(names, found)
+
+    def out(names: list[tuple[int, int]], found: list[np.ndarray]) -> pa.RecordBatch:
+        place = np.repeat(np.arange(len(found)), [len(f) for f in found]).astype("<u2")
+        every = np.concatenate(found)
+        key = ((every >> U64(32)) * U64(ranges) >> U64(32)) << U64(40) | every & _LOW40
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+        at = (key >> U64(40)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        ends = np.append(starts[1:], len(at))
+        listed = np.array(names, np.int64)
         with np.errstate(over="ignore"):
-            # links that are found already go to any task
-            any_key = -(mix(pairs[:, 0].view(U64) * U64(3) + pairs[:, 1].view(U64)) >> U64(16)).view(np.int64) - 1 if len(pairs) else np.zeros(0, np.int64)
-        # of more than two sets that share a signature here one is sent, marked by itself; rows stand in the order of the
-        # documents, whose names then compress well in the shuffle
-        keep = np.flatnonzero(lead | ~many)
-        keep = keep[np.argsort(order[keep])]
-        yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(names[keep]), pa.array(names[keep], mask=~many[keep])], ["signature", "b", "a"])
-        yield pa.RecordBatch.from_arrays([pa.array(any_key), pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["signature", "b", "a"])
-
-    sent = pick(docs, "text").mapInArrow(run, "signature long, b long, a long")
-    order = W.partitionBy("signature").orderBy("b")
-    more = F.coalesce("a", F.lag("a").over(order), F.lag("b", 2).over(order), F.lead("b").over(order)).isNotNull()
-    known = F.col("a").isNotNull() & (F.col("a") != F.col("b"))
-    linked = sent.withColumn("last", F.lag("b").over(order)).withColumn("sure", more)
-    linked = linked.select(F.when(known, F.col("a")).otherwise(F.col("last")).alias("a"), "b", "sure").filter("a <> b")
-    return linked.mapInArrow(_fewer, "a long, b long, sure boolean")
-
-
-def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sure links as a spanning forest, the others once each."""
-    sure: list[tuple[int, int]] = []
-    for batch in batches:
-        pairs = np.stack((batch.column(0).to_numpy(), batch.column(1).to_numpy()), 1)
-        marks = batch.column(2).to_numpy(zero_copy_only=False)
-        pairs.sort(axis=1)
-        sure = forest([*sure, *map(tuple, np.unique(pairs[marks], axis=0).tolist())])
-        rest = np.unique(pairs[~marks], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(rest[:, 0]), pa.array(rest[:, 1]), pa.array(np.zeros(len(rest), bool))], ["a", "b", "sure"])
-        if len(sure) > 1_000_000:  # what a task holds is bounded
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sure], pa.int64()), pa.array([b for _, b in sure], pa.int64()), pa.array([True] * len(sure))], ["a", "b", "sure"])
-            sure = []
-    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sure], pa.int64()), pa.array([b for _, b in sure], pa.int64()), pa.array([True] * len(sure), pa.bool_())], ["a", "b", "sure"])
+            pack = int((mix(listed.view(U64).ravel()[: 2 * len(names)]) * np.arange(1, 2 * len(names) + 1, dtype=U64)).sum(dtype=U64) >> U64(17))
+        slices = [packed(key[a:b] & _LOW40) for a, b in zip(starts, ends)]
+        sets = [place[a:b].tobytes() for a, b in zip(starts, ends)]
+        rows = len(slices) + 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*at[starts].tolist(), pack % ranges], pa.int32()), pa.array([pack] * rows, pa.int64()), pa.array([*slices, None], pa.binary()), pa.array([*sets, listed.tobytes()], pa.binary())],
+            ["range", "pack", "signatures", "sets"],
+        )
 
+    return pick(docs, "text").mapInArrow(run, "range int, pack long, signatures binary, sets binary")
 
-def possible(links: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) whose sets' counts by cell leave it possible that they are similar.
 
-    The counts of two sets differ by no more, in sum, than the sets do, and clipped counts by no more than counts.
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, many, names): the links of a star around one of the sets of each signature, many if it can have more than two sets.
+
+    Sets are named by pack and place; names: a pack's names, with the pack as a.
     """
+    current, keys, sets, held, cut_short = None, [], [], 0, False
+
+    def links(whole: bool) -> pa.RecordBatch:
+        nonlocal keys, sets, held, cut_short
+        cut_short |= not whole
+        key, own = np.concatenate(keys), np.concatenate(sets)
+        order = np.argsort(key, kind="stable")  # the first of a signature stays the first
+        key, own = key[order], own[order]
+        lead = np.concatenate(([True], key[1:] != key[:-1]))
+        group = np.cumsum(lead) - 1
+        leader, more = own[lead][group], (np.bincount(group) > 2)[group] | cut_short
+        keys, sets, held = [key[lead]], [own[lead]], int(lead.sum())
+        pairs = np.unique(np.stack((leader, own, more.astype(np.int64)), 1)[~lead], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] == 1), pa.nulls(len(pairs), pa.binary())], ["a", "b", "many", "names"])
+
+    for batch in batches:
+        at, pack = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i in range(len(at)):
+            if at[i] != current:
+                if held:
+                    yield links(True)
+                current, keys, sets, held, cut_short = at[i], [], [], 0, False
+            data, places = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+            if data is None:
+                yield pa.RecordBatch.from_arrays([pa.array([pack[i]], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([places], pa.binary())], ["a", "b", "many", "names"])
+                continue
+            own = np.frombuffer(places, "<u2").astype(np.int64)
+            keys.append(unpacked(data, len(own)))
+            sets.append(own | np.int64(pack[i] << 16))
+            held += len(own)
+            if held > 4 * RANGE:
+                yield links(False)
+    if held:
+        yield links(True)
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, high, low) of the sets of packs."""
+    for batch in batches:
+        for pack, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            names = np.frombuffer(data, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array((pack << 16) + np.arange(len(names))), pa.array(names[:, 0]), pa.array(names[:, 1])], ["at", "high", "low"])
+
+
+def candidates(docs: DataFrame, names: DataFrame, words: int, percent: int, ranges: int) -> DataFrame:
+    """(a, b, many): distinct links, by id, of the stars of all signatures."""
+    found = cut(sent(docs, words, percent, ranges).repartition("range").sortWithinPartitions("range").mapInArrow(_stars, "a long, b long, many boolean, names binary"))
+    release(docs)
+    where = found.filter("names is not null").select("a", "names").mapInArrow(_named, "at long, high long, low long")
+    where = cut(where.join(names.select("id", "high", "low"), ["high", "low"]).select("at", "id"))
+    links = found.filter("names is null").groupBy("a", "b").agg(F.max("many").alias("many"))
+    for end in ("a", "b"):
+        links = links.join(where.select(F.col("at").alias(end), F.col("id").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+    return links.filter("a <> b").groupBy("a", "b").agg(F.max("many").alias("many"))
+
+
+def possible(links: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b, many), with column ok: whether the counts of both sets leave it possible that they are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for c in (2, 3)]
-            apart = np.abs(counts[0] - counts[1]).sum(1)
-            keep = pa.array(apart * (100 + percent) <= batch.column(4).to_numpy() * (100 - percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            n, m = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            x, y = batch.column(4).to_pylist(), batch.column(6).to_pylist()
+            ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            for i in np.flatnonzero(ok):
+                cells = min(len(x[i]), len(y[i]))
+                ok[i] = np.abs(folded(x[i], cells) - folded(y[i], cells)).sum() * (100 + percent) <= (n[i] + m[i]) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok)], ["a", "b", "many", "ok"])
 
-    own = links.select("a", "b").distinct()
     for end in ("a", "b"):
-        own = own.join(names.select(F.col("set_id").alias(end), F.col("n_shingles").alias(f"{end}_n"), F.col("counts").alias(f"{end}_counts")), end)
-    fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    return own.filter(fits).select("a", "b", "a_counts", "b_counts", (F.col("a_n") + F.col("b_n")).alias("n")).mapInArrow(run, "a long, b long")
+        links = links.join(names.select(F.col("id").alias(end), F.col("n_shingles").alias(f"{end}_n"), F.col("counts").alias(f"{end}_counts")), end)
+    return links.select("a", "b", "many", "a_n", "a_counts", "b_n", "b_counts").mapInArrow(run, "a long, b long, many boolean, ok boolean")
+
+
+def within(tried: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of stars of several sets that lost a link, the possible links between all of their sets, as spanning forests."""
+    lost = tried.filter("many and not ok").select("a").distinct()
+    stars = tried.filter("many").join(lost, "a")
+    members = cut(stars.select(F.col("a").alias("star"), F.col("b").alias("id")).unionByName(lost.select(F.col("a").alias("star"), F.col("a").alias("id"))))
+    size = members.groupBy("star").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    own = members.join(size, "star").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    task = F.concat_ws(":", F.col("star").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
+    dealt = own.select(task.alias("task"), side.alias("side"), "id").join(names.select("id", "counts", "n_shingles"), "id")
+    compare = lambda x, n, y, m: maybe(x, n, y, m, percent)
+    return _compared(dealt.select("task", "side", "id", "counts", "n_shingles"), compare)
+
+
+def _compared(dealt: DataFrame, compare) -> DataFrame:
+    """Links (a, b) of a spanning forest of the links in each task.
+
+    dealt: task, side (0 is compared with 1; 2 with itself and with 1), id, data and n_shingles of sets.
+    compare: from lists of data and numbers of shingles of two sides to a matrix of links.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, {}
+        for batch in batches:
+            for t, side, name, data, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if t != task:
+                    yield out(held)
+                    task, held = t, {}
+                held[name] = side, data, n
+        yield out(held)
 
-def _bitmap(members: DataFrame) -> np.ndarray:
-    """Of 2^24 classes of set_ids, those with a member: 2 MB at any size, gathered as at most 2^18 words of 64 bits."""
-    at = f"shiftrightunsigned(set_id, {64 - _MAP_BITS})"
-    bits = members.selectExpr(f"{at} div 64 AS word", f"shiftleft(1L, cast({at} % 64 AS int)) AS bit")
-    out = np.zeros(1 << (_MAP_BITS - 6), np.int64)
-    got = bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
-    out[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    def out(held: dict) -> pa.RecordBatch:
+        links = []
+        if len(held) > 1:
+            order = sorted(held, key=lambda name: held[name][0] == 1)
+            data, sizes = [held[name][1] for name in order], np.array([held[name][2] for name in order])
+            n = sum(side != 1 for side, _, _ in held.values())
+            found = np.zeros((len(order), len(order)), bool)
+            if any(side == 2 for side, _, _ in held.values()):
+                found[:n, :n] = compare(data[:n], sizes[:n], data[:n], sizes[:n])
+                np.fill_diagonal(found, False)
+            if 0 < n < len(order):
+                found[:n, n:] = compare(data[:n], sizes[:n], data[n:], sizes[n:])
+                found[n:, :n] = found[:n, n:].T
+            links = [(order[i], order[j]) for i, j in tree(found)]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def packed(elements: np.ndarray) -> bytes:
-    """The leading bytes of ascending hashes."""
-    return elements.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :ELEMENT_BYTES].tobytes()
+# --- exact comparison ------------------------------------------------------
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // ELEMENT_BYTES, 8), np.uint8)
-    out[:, :ELEMENT_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, ELEMENT_BYTES)
-    return out.view(">u8").ravel().astype(U64)
+def _bitmap(members: DataFrame, bits: int) -> np.ndarray:
+    """Of 2^bits classes of names, those with a member."""
+    at = f"shiftrightunsigned(low, {64 - bits})"
+    words = members.selectExpr(f"{at} div 64 AS word", f"shiftleft(1L, cast({at} % 64 AS int)) AS bit")
+    out = np.zeros(1 << (bits - 6), np.int64)
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
 def members_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """(set_id, elements): the sets of the members and a few more, the same set at most once per task."""
-    wanted = np.packbits(_bitmap(members))
+    """(id, elements, n_shingles) of the members (id, high, low).
+
+    Tasks leave out most other sets by a bit map with eight places for each member, of 2^16 to 2^26 bits (8 MB); beyond eight
+    million members it leaves out fewer, and the join does the rest.
+    """
+    bits = min(26, max(16, members.count().bit_length() + 3))
+    wanted = np.packbits(_bitmap(members, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has, seen = np.unpackbits(wanted).astype(bool), set()
@@ -327,131 +477,153 @@ def members_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             for _, sets in document_sets(batch, words):
                 rows = []
                 for s in sets:
-                    if len(s) and (name := set_id(s)) not in seen and has[(name & (1 << 64) - 1) >> (64 - _MAP_BITS)]:
+                    if len(s) and (name := set_name(s)) not in seen and has[(name[1] & (1 << 64) - 1) >> (64 - bits)]:
                         seen.add(name)
-                        rows.append((name, packed(s)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["set_id", "elements"])
+                        rows.append((*name, s.astype("<u8").tobytes(), len(s)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["high", "low", "elements", "n_shingles"])
 
-    return pick(docs, "text").mapInArrow(run, "set_id long, elements binary")
+    found = pick(docs, "text").mapInArrow(run, "high long, low long, elements binary, n_shingles long")
+    found = found.join(members.select("id", "high", "low"), ["high", "low"])
+    return found.dropDuplicates(["id"]).select("id", "elements", "n_shingles")
 
 
-def blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(set_id, task, side) of sets (set_id, n_shingles, component): the comparisons in which each set takes part.
+def spanning(links: DataFrame, close: DataFrame) -> DataFrame:
+    """Some of the links (a, b) that still connect the components (node, component); a task holds a bounded number of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(a), root(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    kept.append((a, b))
+            if len(up) > 1_000_000:
+                up.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], ["a", "b"])
+
+    together = links.join(close.select(F.col("node").alias("a"), "component"), "a")
+    return together.repartition("component").select("a", "b").mapInArrow(run, "a long, b long")
 
-    A component that fits a block is one task. Others are cut into blocks by size band and hash. Similar sets are in
-    one band or in neighbouring ones, so a task has a block (side 0) and one of the same or the next band (side 1);
-    the first of a block's tasks with the next band also compares the block with itself (side 2).
+
+def _blocks(count: str, elements: str) -> F.Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(count) / BLOCK_SETS), F.ceil(F.col(elements) / BLOCK_ELEMENTS)).cast("int")
+
+
+def edge_tasks(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(task, side, id) for links (a, b): each a with a bounded number of its bs."""
+    own = edges.join(names.select(F.col("id").alias("b"), "n_shingles"), "b")
+    size = own.groupBy("a").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("elements")).select("a", _blocks("many", "elements").alias("blocks"))
+    own = own.join(size, "a").withColumn("task", F.concat_ws(":", F.col("a").cast("string"), F.pmod(F.xxhash64("b"), F.col("blocks").cast("long")).cast("string")))
+    right = own.select("task", F.lit(1).alias("side"), F.col("b").alias("id"))
+    return right.unionByName(own.select("task", F.lit(0).alias("side"), F.col("a").alias("id")).distinct())
+
+
+def block_tasks(open_: DataFrame, percent: int) -> DataFrame:
+    """(task, side, id) for sets (id, n_shingles, component, part, main): comparisons of those outside the largest part.
+
+    A component that fits a block is one task. Others are cut into blocks by size band, by whether a set is in the component's
+    largest part, and by hash. Similar sets are in one band or in neighbouring ones; two sets of the largest part are not compared.
     """
+    whole = open_.groupBy("component").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("elements")).select("component", (_blocks("many", "elements") == 1).alias("small"))
+    own = open_.join(whole, "component")
     size_band = F.floor(F.log("n_shingles") / math.log(100 / percent) + 1e-9).cast("int")
-    own = members.withColumn("band", size_band)
-    many = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_ELEMENTS)).cast("int")
-    whole = own.groupBy("component").agg(many().alias("all_blocks"))
-    each = own.groupBy("component", "band").agg(many().alias("own_blocks"))
-    following = each.select("component", (F.col("band") - 1).alias("band"), F.col("own_blocks").alias("next_blocks"))
-    before = each.select("component", (F.col("band") + 1).alias("band"), F.col("own_blocks").alias("last_blocks"))
-    each = cut(each.join(following, ["component", "band"], "left").join(before, ["component", "band"], "left").join(whole, "component"))
-    own = own.join(each, ["component", "band"])
-    own = own.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("own_blocks").cast("long")).cast("int"))
-    task = lambda b1, k1, b2, k2: F.concat_ws(":", F.col("component").cast("string"), b1.cast("string"), k1.cast("string"), b2.cast("string"), k2.cast("string"))
-    to = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    band_, block_ = F.col("band"), F.col("block")
-    same = F.transform(F.filter(to(F.col("own_blocks")), lambda k: k != block_), lambda k: F.struct(task(band_, F.least(k, block_), band_, F.greatest(k, block_)).alias("task"), F.when(k > block_, 0).otherwise(1).alias("side")))
-    upper = F.transform(to(F.coalesce("next_blocks", F.lit(1))), lambda k: F.struct(task(band_, block_, band_ + 1, k).alias("task"), F.when(k == 0, 2).otherwise(0).alias("side")))
-    lower = F.transform(to(F.col("last_blocks")), lambda k: F.struct(task(band_ - 1, k, band_, block_).alias("task"), F.lit(1).alias("side")))
-    alone = F.array(F.struct(F.col("component").cast("string").alias("task"), F.lit(2).alias("side")))
-    return own.select("set_id", F.explode(F.when(F.col("all_blocks") == 1, alone).otherwise(F.concat(same, upper, lower))).alias("_t")).select("set_id", "_t.*")
+    own = own.withColumn("band", F.when(F.col("small"), 0).otherwise(size_band)).withColumn("kind", F.when(~F.col("small") & (F.col("part") == F.col("main")), 1).otherwise(0))
+    each = cut(own.groupBy("component", "band", "kind").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("elements")).select("component", "band", "kind", _blocks("many", "elements").alias("blocks")))
+    other = each.select("component", *(F.col(c).alias(f"_{c}") for c in ("band", "kind", "blocks")))
+    met = each.join(other, "component").filter("abs(band - _band) <= 1 and (kind = 0 or _kind = 0)")
+    own = own.join(met, ["component", "band", "kind"])
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    text = lambda *c: F.concat_ws(":", *(F.col(x).cast("string") for x in c))
+    mine, theirs = text("kind", "band", "block"), text("_kind", "_band", "_block")
+    side = F.when(mine == theirs, 2).when(mine < theirs, 0).otherwise(1)
+    return own.select(F.concat_ws("|", F.col("component").cast("string"), F.least(mine, theirs), F.greatest(mine, theirs)).alias("task"), side.alias("side"), "id")
 
 
 def verified(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of a spanning forest of the similar pairs in each task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held = None, {}
-        for batch in batches:
-            for t, side, name, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if t != task:
-                    yield out(held)
-                    task, held = t, {}
-                held[name] = side, data
-        yield out(held)
+    def compare(x: list[bytes], n: np.ndarray, y: list[bytes], m: np.ndarray) -> np.ndarray:
+        return similar([np.frombuffer(s, "<u8") for s in x], [np.frombuffer(s, "<u8") for s in y], percent)
 
-    def out(held: dict) -> pa.RecordBatch:
-        links = []
-        if len(held) > 1:
-            order = sorted(held, key=lambda name: held[name][0] == 1)
-            sets = [unpacked(held[name][1]) for name in order]
-            n = sum(side != 1 for side, _ in held.values())
-            found = np.zeros((len(sets), len(sets)), bool)
-            if any(side == 2 for side, _ in held.values()):
-                found[:n, :n] = similar(sets[:n], sets[:n], percent)
-                np.fill_diagonal(found, False)
-            if 0 < n < len(sets):
-                found[:n, n:] = similar(sets[:n], sets[n:], percent)
-                found[n:, :n] = found[:n, n:].T
-            links = [(order[i], order[j]) for i, j in tree(found)]
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+    return _compared(tasks.join(sets, "id").select("task", "side", "id", "elements", "n_shingles"), compare)
 
-    dealt = tasks.join(sets, "set_id").select("task", "side", "set_id", "elements").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "a long, b long")
 
-
-def _linked(docs: DataFrame, words: int, percent: int, shapes: tuple | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows of sets_of(), and (set_id, least, component) of their sets: the least doc_id that has a set, and what it is linked with."""
+def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of sets_of(), and (id, high, low, least, component) of their sets: the least doc_id that has a set, and what it is linked with."""
     rows = cut(sets_of(docs, words))
-    many = rows.count()
-    level, subparts = next((a, b) for most, a, b in shapes or (SHAPES if percent >= 85 else LOWER_SHAPES) if many <= most)
-    chains = cut(candidates(docs, words, percent, level, subparts))
+    shingles = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    ranges = min(1 << 23, max(8 * partitions(docs), math.ceil(shingles / RANGE)))
+    names = rows.filter("high is not null").groupBy("high", "low").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.first("counts").alias("counts"))
+    names = cut(names.withColumn("id", F.monotonically_increasing_id()))
+    tried = cut(possible(candidates(docs, names, words, percent, ranges), names, percent))
     release(docs)
-    names = rows.filter("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.min("counts").alias("counts"))
-    names = cut(names)
-    links = chains.filter("sure").select("a", "b").unionByName(possible(chains.filter("not sure"), names, percent))
-    close = components(thinned(links)).withColumnRenamed("node", "set_id")
-    members = cut(names.select("set_id", "n_shingles").join(close, "set_id"))
-    links = cut(verified(members_sets(docs, members, words), blocks(members, percent), percent))
+    links = cut(tried.filter("ok").select("a", "b").unionByName(within(tried, names, percent)))
+    close = cut(components(links))
+    members = names.join(close.withColumnRenamed("node", "id"), "id").select("id", "high", "low", "n_shingles", "component")
+    sets = cut(members_sets(docs, members, words))
+    sure = cut(verified(sets, edge_tasks(cut(spanning(links, close)), names), percent))
+    part = components(sure).select(F.col("node").alias("id"), F.col("component").alias("part"))
+    state = cut(members.join(part, "id", "left").withColumn("part", F.coalesce("part", "id")))
+    parts = state.groupBy("component", "part").agg(F.count("*").alias("many"))
+    # of two sets the only link has been compared
+    apart = parts.groupBy("component").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count("*").alias("parts"), F.sum("many").alias("all")).filter("parts > 1 and all > 2")
+    open_ = cut(state.join(apart.select("component", "main"), "component").select("id", "n_shingles", "component", "part", "main"))
+    if not open_.isEmpty():
+        sure = cut(sure.unionByName(verified(sets, block_tasks(open_, percent), percent)))
     release(docs)
-    linked = components(links).withColumnRenamed("node", "set_id")
-    together = names.select("set_id", "least").join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    linked = components(sure).withColumnRenamed("node", "id")
+    together = names.select("id", "high", "low", "least").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return rows, together
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shapes: tuple | None = None) -> DataFrame:
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: the least doc_id that links reach, its own included."""
-    rows, together = _linked(docs, words, percent, shapes)
+    rows, together = _linked(docs, words, percent)
     least = together.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = cut(together.select("set_id", "component").join(least, "component").drop("component"))
-    out = rows.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = cut(together.select("high", "low", "component").join(least, "component").drop("component"))
+    out = rows.select("doc_id", "n_shingles", "high", "low").join(found, ["high", "low"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("high").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _with_sets(docs: DataFrame, words: int, name: str) -> DataFrame:
-    """Adds a column with the set_id of each document (null for the empty set)."""
+def _with_sets(docs: DataFrame, words: int) -> DataFrame:
+    """Adds columns _high and _low with the name of each document's set (null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in document_sets(batch, words):
-                names = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, names], [*part.schema.names, name])
+                names = [set_name(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([n[i] for n in names], pa.int64()) for i in range(2))], [*part.schema.names, "_high", "_low"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_high", LongType()), StructField("_low", LongType())]))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are similar to others: of each component one row stays, that with the least doc_id.
 
-    Null doc_ids come last; of sets with the same least doc_id, or with none, the least set_id stays, and of rows with the
+    Null doc_ids come last; of sets with the same least doc_id, or with none, the least name stays, and of rows with the
     doc_id and the set that stay, any one. Documents that are alone, and texts without words, stay as they are.
     """
     docs, back = carried(docs, "doc_id", "text")
     rows, together = _linked(docs, words, percent)
     together = cut(together)
-    first = together.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "set_id")).alias("first"), F.count("*").alias("sets"))
+    first = together.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "high", "low", "id")).alias("first"), F.count("*").alias("sets"))
     linked = together.join(first.filter("sets > 1"), "component")
-    gone = cut(linked.filter("set_id <> first.set_id").select(F.col("set_id").alias("_set")))
-    crowded = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("_least"), F.count("*").alias("rows")).filter("rows > 1")
-    crowded = cut(crowded.select(F.col("set_id").alias("_set"), "_least").join(gone, "_set", "left_anti"))
-    stay = _with_sets(docs, words, "_set").join(gone, "_set", "left_anti")
-    copies = stay.join(crowded, "_set").filter(F.col("doc_id").eqNullSafe(F.col("_least"))).drop("_least").dropDuplicates(["_set"])
-    stay = stay.join(crowded, "_set", "left_anti").unionByName(copies)
+    own = ["_high", "_low"]
+    gone = cut(linked.filter("id <> first.id").select(F.col("high").alias("_high"), F.col("low").alias("_low")))
+    crowded = rows.filter("high is not null").groupBy(F.col("high").alias("_high"), F.col("low").alias("_low")).agg(F.min("doc_id").alias("_least"), F.count("*").alias("rows")).filter("rows > 1")
+    crowded = cut(crowded.select(*own, "_least").join(gone, own, "left_anti"))
+    stay = _with_sets(docs, words).join(gone, own, "left_anti")
+    copies = stay.join(crowded, own).filter(F.col("doc_id").eqNullSafe(F.col("_least"))).drop("_least").dropDuplicates(own)
+    stay = stay.join(crowded, own, "left_anti").unionByName(copies)
     return back(stay)
 
 

@@ -182,20 +182,76 @@ def test_jaccard_join(spark, percent, words):
                 x, y = top[a], top[b]
                 top = [min(x, y) if t in (x, y) else t for t in top]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for shapes in (ngram_join.SHAPES, ((1e9, 2, 6),)):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(df, words, percent, shapes).collect()}
-        assert got == {i: (len(sets[i]), top[i]) for i in range(len(texts))}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(df, words, percent).collect()}
+    assert got == {i: (len(sets[i]), top[i]) for i in range(len(texts))}
+
+
+def altered(rng, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A random set and one that is as different as similar sets can be, by elements that go and others that come."""
+    wide = lambda k: np.unique(rng.integers(0, 1 << 63, k, np.int64).astype(np.uint64) * np.uint64(2))
+    own = wide(n)
+    apart = 2 * n * (100 - percent) // (100 + percent)
+    gone = int(rng.integers(0, apart + 1))
+    other = np.unique(np.concatenate((rng.permutation(own)[gone:], wide(apart - gone))))
+    return own, other
+
+
+@pytest.mark.parametrize("percent", [85, 80, 60])
+@pytest.mark.parametrize("cells", [1, 3])
+def test_signatures_of_similar_sets(percent, cells, monkeypatch):
+    """Similar sets share a signature, however many of their parts have weak ones, and how many are sent is in proportion."""
+    monkeypatch.setattr(ngram_join, "least_elements", lambda _: cells)
+    rng, maker = np.random.default_rng(percent), ngram_join.Signatures(percent)
+    for n in (5, 8, 20, 60, 200, 900, 6000):
+        for _ in range(60 if n < 1000 else 4):
+            a, b = altered(rng, n, percent)
+            shared = len(np.intersect1d(a, b))
+            if len(b) and 100 * shared >= percent * (len(a) + len(b) - shared):
+                assert len(a) == len(b) == shared or len(np.intersect1d(maker.of(a), maker.of(b)))
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_signatures_are_few(percent):
+    rng, maker = np.random.default_rng(3), ngram_join.Signatures(percent)
+    for n in (1500, 5000, 20000):
+        own = altered(rng, n, percent)[0]
+        plain = sum(maker.plan(ngram_join.band(n, percent) + i)[0] * maker.subsets.shape[1] for i in (0, 1))
+        assert len(maker.of(own)) <= 1.2 * plain <= 1.5 * n
+
+
+def test_packed_signatures():
+    rng = np.random.default_rng(2)
+    for n in (1, 511, 512, 5000):
+        own = np.sort(rng.integers(0, 1 << 40, n).astype(np.uint64))
+        assert (ngram_join.unpacked(ngram_join.packed(own), n) == own).all()
 
 
 def test_jaccard_blocks(spark, monkeypatch):
     """A component that is larger than a block is compared in blocks of neighbouring size bands, with the same result."""
     rng = random.Random(9)
     own = [str(i) for i in range(60)]
-    texts = [" ".join(own[: 60 - rng.randrange(12)] + ([f"x{k}"] if k % 2 else [])) for k in range(60)]
+    texts = []
+    for k in range(60):
+        t = own[: 60 - rng.randrange(12)] + ([f"x{k}"] if k % 2 else [])
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            t[rng.randrange(len(t))] = f"y{k}"
+        texts.append(" ".join(t))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     whole = {r["doc_id"]: r["component_id"] for r in ngram_join.joined(df).collect()}
+    sets = [shingles(t, 4, True) for t in texts]
+    top = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = top[a], top[b]
+                top = [min(x, y) if t in (x, y) else t for t in top]
+    assert whole == dict(enumerate(top)) and len(set(top)) > 1
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 7)
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.joined(df).collect()} == whole
+    # ranges that are read in several pieces, packs of few sets
+    monkeypatch.setattr(ngram_join, "RANGE", 20)
+    monkeypatch.setattr(ngram_join, "HELD_SETS", 5)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.joined(df).collect()} == whole
 
 
 def test_similar_dense_and_sparse():
