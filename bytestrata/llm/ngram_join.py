@@ -401,7 +401,7 @@ def possible(links: DataFrame, names: DataFrame, percent: int) -> DataFrame:
 def within(tried: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     """(a, b): of stars of several sets that lost a link, the possible links between all of their sets, as spanning forests."""
     lost = tried.filter("many and not ok").select("a").distinct()
-    stars = tried.filter("many").join(lost, "a")
+    stars = tried.filter("many").join(lost, "a", "left_semi")
     members = cut(stars.select(F.col("a").alias("star"), F.col("b").alias("id")).unionByName(lost.select(F.col("a").alias("star"), F.col("a").alias("id"))))
     size = members.groupBy("star").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
     own = members.join(size, "star").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
@@ -487,8 +487,8 @@ def members_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     return found.dropDuplicates(["id"]).select("id", "elements", "n_shingles")
 
 
-def spanning(links: DataFrame, close: DataFrame) -> DataFrame:
-    """Some of the links (a, b) that still connect the components (node, component); a task holds a bounded number of them."""
+def thin(links: DataFrame) -> DataFrame:
+    """Each task's links (a, b) without those between sets that it has connected already; it holds a bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict[int, int] = {}
@@ -510,8 +510,15 @@ def spanning(links: DataFrame, close: DataFrame) -> DataFrame:
                 up.clear()
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], ["a", "b"])
 
-    together = links.join(close.select(F.col("node").alias("a"), "component"), "a")
-    return together.repartition("component").select("a", "b").mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def spanning(links: DataFrame, close: DataFrame) -> DataFrame:
+    """Few links (a, b) that still connect the components (node, component): a large one's are thinned in several tasks."""
+    size = close.groupBy("component").agg(F.ceil(F.count("*") / (1 << 16)).alias("tasks"))
+    own = close.join(size, "component").select(F.col("node").alias("a"), "component", "tasks")
+    together = links.join(own, "a").withColumn("part", F.pmod(F.xxhash64("b"), "tasks"))
+    return thin(together.repartition("component", "part"))
 
 
 def _blocks(count: str, elements: str) -> F.Column:
@@ -566,7 +573,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     names = cut(names.withColumn("id", F.monotonically_increasing_id()))
     tried = cut(possible(candidates(docs, names, words, percent, ranges), names, percent))
     release(docs)
-    links = cut(tried.filter("ok").select("a", "b").unionByName(within(tried, names, percent)))
+    links = cut(thin(tried.filter("ok").select("a", "b").unionByName(within(tried, names, percent))))
     close = cut(components(links))
     members = names.join(close.withColumnRenamed("node", "id"), "id").select("id", "high", "low", "n_shingles", "component")
     sets = cut(members_sets(docs, members, words))
