@@ -9,8 +9,11 @@ threshold by both radii links all points below at once; pairs of single points a
 in double precision.
 
 Labels of more than BLOCK points are cut into cells around pivots (at most PIVOTS of all labels together,
-shared out by size) and cells into blocks; two blocks are compared unless the covering radii of their cells
-rule out every pair. What leaves a task is a number of links per point and a spanning forest, not the pairs.
+shared out by size), and cells that stand side by side in the cover tree of the pivots make blocks of at most BLOCK points,
+or several blocks a cell. A point is sent to a block only if one of its cells can hold a linked point: the cell's covering
+radius must reach it, and its distance to the plane between both pivots must be within the threshold, since a linked point is
+on the other side. That holds at any number of pivots. What leaves a task is a number of links per point and a spanning
+forest, not the pairs.
 
 Defined results: a vector that is null, empty or zero or has a null or non-finite component, or whose label is
 null, links with nothing and is its own component; vectors of different length do not link; repeated rows are
@@ -32,7 +35,7 @@ from bytestrata.llm.common import cut, pick
 from bytestrata.llm.components import components
 
 COSINE = 0.98
-BLOCK, PIVOTS = 2048, 4096
+BLOCK, CELL, PIVOTS = 8192, 1024, 4096
 #: Distances are compared with this slack before the cosine decides.
 SLACK = 1e-7
 _PAIRS = 1 << 18
@@ -220,8 +223,8 @@ def _pivots(points: DataFrame) -> dict[tuple, np.ndarray]:
     """Pivots of the labels with more than BLOCK points: a bounded number of points in all, by their hash."""
     n = points.count()
     sizes = points.groupBy(F.col("label").alias("_label"), F.size("unit").alias("dims")).agg(F.count("*").alias("many")).filter(F.col("many") > BLOCK)
-    # a label of m points gets up to m / BLOCK pivots, and all labels together at most PIVOTS
-    wanted = F.least(F.ceil(F.col("many") / BLOCK), F.floor(F.lit(PIVOTS) * F.col("many") / max(n, 1))).cast("int")
+    # a label of m points gets up to m / CELL pivots, and all labels together at most PIVOTS
+    wanted = F.least(F.ceil(F.col("many") / CELL), F.floor(F.lit(PIVOTS) * F.col("many") / max(n, 1))).cast("int")
     sizes = sizes.withColumn("wanted", wanted).filter("wanted > 1")
     near = points.join(sizes, (F.col("label") == F.col("_label")) & (F.size("unit") == F.col("dims")))
     share = F.pmod(F.xxhash64("point"), F.lit(1 << 30)) / float(1 << 30)
@@ -231,77 +234,155 @@ def _pivots(points: DataFrame) -> dict[tuple, np.ndarray]:
     return {(r["label"], r["dims"]): np.array(r["p"]) for r in rows}
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[object, int, np.ndarray, np.ndarray]]:
+    """Label, dimensions, row numbers and vectors of the rows of one label and length, of a batch with columns label and unit."""
+    units = batch.column(batch.schema.get_field_index("unit"))
+    offsets, values = units.offsets.to_numpy().astype(np.int64), units.values.to_numpy()
+    dims = np.diff(offsets)
+    labels = batch.column(batch.schema.get_field_index("label")).dictionary_encode()
+    key = labels.indices.to_numpy().astype(np.int64) * (int(dims.max(initial=0)) + 1) + dims
+    names = labels.dictionary.to_pylist()
+    for k in np.unique(key):
+        rows = np.flatnonzero(key == k)
+        wide = int(dims[rows[0]])
+        yield names[labels.indices[int(rows[0])].as_py()], wide, rows, values[offsets[rows][:, None] + np.arange(wide)]
+
+
+@dataclass
+class Blocks:
+    """The blocks of a label: for each cell its first block and how many it has; cells in the order of their blocks."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+    order: np.ndarray
+    gap: np.ndarray
+
+    @classmethod
+    def of(cls, pivots: np.ndarray, sizes: np.ndarray, radius: np.ndarray) -> Blocks:
+        order, first, many, at, held = build_order(pivots), np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64), -1, 0
+        for cell in order:
+            many[cell] = max(1, -(-int(sizes[cell]) // BLOCK))
+            if at < 0 or held + sizes[cell] > BLOCK:
+                at, held = at + 1, 0
+            first[cell] = at
+            held += sizes[cell]
+            if many[cell] > 1:  # a cell with blocks of its own
+                at, held = at + int(many[cell]) - 1, BLOCK
+        gap = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
+        return cls(pivots, radius, first, many, order, gap)
+
+    def reach(self, units: np.ndarray, cell: np.ndarray, limit: float) -> np.ndarray:
+        """Matrix of the points and the blocks with a cell that can hold a point within the limit."""
+        dots = units @ self.pivots.T
+        own = dots[np.arange(len(units)), cell]
+        near = own[:, None] - dots <= limit * self.gap[cell] + 1e-6
+        near &= np.sqrt(np.maximum(0, 2 - 2 * dots)) <= self.radius[None, :] + limit + 1e-6
+        near[np.arange(len(units)), cell] = True
+        out = np.zeros((len(units), int((self.first + self.many).max())), bool)
+        for c in range(len(self.pivots)):
+            out[:, self.first[c] : self.first[c] + self.many[c]] |= near[:, c, None]
+        return out
+
+
+def build_order(pivots: np.ndarray) -> np.ndarray:
+    """The points in the order of the leaves of their cover tree."""
+    distinct, where = np.unique(pivots, axis=0, return_inverse=True)
+    place = np.argsort(build(distinct).order)
+    return np.argsort(place[where.ravel()], kind="stable")
+
+
 def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    rows = cut(_points(vectors).withColumn("point", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit"))))
-    points = cut(rows.filter("point is not null").groupBy("point").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count("*").alias("weight"), F.min("vec_id").alias("least")))
+    limit = math.sqrt(2 - 2 * cosine)
+    # equal vectors are told by 128 bits of hashes
+    usable = F.col("unit").isNotNull()
+    rows = cut(_points(vectors).withColumn("high", F.when(usable, F.xxhash64("label", "unit"))).withColumn("low", F.when(usable, F.xxhash64(F.lit(7), "unit", "label"))))
+    points = rows.filter("high is not null").groupBy("high", "low").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    points = cut(points.withColumn("point", F.monotonically_increasing_id()))
     pivots = _pivots(points)
+    kind = dict(points.dtypes)["label"]
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, units = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            cells, away = [], []
-            for label, unit in zip(labels, units):
-                p = pivots.get((label, len(unit)))
-                dots = p @ np.array(unit) if p is not None else np.ones(1)
-                cells.append(int(dots.argmax()))
-                away.append(float(math.sqrt(max(0.0, 2 - 2 * dots.max()))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(away, pa.float64())], ["label", "unit", "point", "weight", "cell", "away"])
-
-    kind = dict(points.dtypes)["label"]
-    placed = cut(points.select("label", "unit", "point", "weight").mapInArrow(cell, f"label {kind}, unit array<double>, point long, weight long, cell int, away double").withColumn("dims", F.size("unit")))
-    cells = placed.groupBy("label", "dims", "cell").agg(F.count("*").alias("many"), F.max("away").alias("away"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
-    both = _cell_pairs(cells, pivots, math.sqrt(2 - 2 * cosine))
-    own = placed.join(cells.select("label", "dims", "cell", "blocks"), ["label", "dims", "cell"]).withColumn("block", F.pmod("point", F.col("blocks").cast("long")).cast("int"))
-    # every point goes to the tasks of its block: with all blocks of its own cell and of the cells near it
-    near = both.select("label", "dims", F.col("cell"), "other", "other_blocks")
-    sent = own.join(near, ["label", "dims", "cell"]).withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
-    mine, theirs = F.struct("cell", "block"), F.struct(F.col("other").alias("cell"), F.col("other_block").alias("block"))
-    text = lambda s: F.concat_ws(":", s["cell"].cast("string"), s["block"].cast("string"))
-    sent = sent.withColumn("side", F.when(mine == theirs, 2).when(mine < theirs, 0).otherwise(1))
-    sent = sent.withColumn("task", F.concat_ws("|", F.col("label").cast("string"), F.col("dims").cast("string"), F.least(text(mine), text(theirs)), F.greatest(text(mine), text(theirs))))
-    found = cut(_compared(sent.select("task", "side", "point", "weight", "unit"), cosine))
+            cells, away = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for label, dims, at, units in _groups(batch):
+                if (p := pivots.get((label, dims))) is not None:
+                    dots = units @ p.T
+                    cells[at] = dots.argmax(1)
+                    away[at] = np.sqrt(np.maximum(0, 2 - 2 * dots.max(1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(away)], ["label", "unit", "point", "weight", "cell", "away"])
+
+    placed = points.select("label", "unit", "point", "weight").mapInArrow(cell, f"label {kind}, unit array<double>, point long, weight long, cell int, away double").withColumn("dims", F.size("unit"))
+    blocks: dict[tuple, Blocks] = {}
+    if pivots:
+        placed = cut(placed)
+        found: dict[tuple, list] = {}
+        for r in placed.groupBy("label", "dims", "cell").agg(F.count("*").alias("many"), F.max("away").alias("away")).join(_named(points, pivots), ["label", "dims"], "left_semi").collect():
+            found.setdefault((r["label"], r["dims"]), []).append((r["cell"], r["many"], r["away"]))
+        for key, p in pivots.items():
+            sizes, radius = np.zeros(len(p), np.int64), np.zeros(len(p))
+            for c, many, away in found.get(key, []):
+                sizes[c], radius[c] = many, away
+            blocks[key] = Blocks.of(p, sizes, radius)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, points_ = batch.column(4).to_numpy(), batch.column(2).to_numpy()
+            for label, dims, at, units in _groups(batch):
+                own, other, row = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.arange(len(at))
+                if (b := blocks.get((label, dims))) is not None:
+                    block = b.first[cells[at]] + points_[at] % b.many[cells[at]]
+                    row, other = np.nonzero(b.reach(units, cells[at], limit))
+                    own = block[row]
+                side = np.where(own == other, 2, np.where(own < other, 0, 1))
+                keep = batch.select(["label", "point", "weight", "unit"]).take(pa.array(at[row]))
+                places = [pa.array(x.astype(np.int32)) for x in (np.minimum(own, other), np.maximum(own, other), side)]
+                yield pa.RecordBatch.from_arrays([*places, *keep.columns], ["low", "high", "side", "label", "point", "weight", "unit"])
+
+    sent = placed.select("label", "unit", "point", "weight", "cell").mapInArrow(send, f"low int, high int, side int, label {kind}, point long, weight long, unit array<double>")
+    task = F.concat_ws("|", F.col("label").cast("string"), F.size("unit").cast("string"), F.col("low").cast("string"), F.col("high").cast("string"))
+    found = cut(_compared(sent.select(task.alias("task"), "side", "point", "weight", "unit"), cosine))
     counts = found.filter("links is not null").groupBy(F.col("a").alias("point")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("links is null")).withColumnRenamed("node", "point")
-    points = points.select("point", "weight", "least").join(counts, "point", "left").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
-    least = points.groupBy("component").agg(F.min("least").alias("component_id"))
-    points = cut(points.join(least, "component").select("point", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"))
-    out = rows.select("vec_id", "point").join(points, "point", "left")
-    component = F.when(F.col("point").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("long")
+    own = points.select("point", "high", "low", "weight", "least").join(counts, "point", "left").join(joined, "point", "left").withColumn("component", F.coalesce("component", "point"))
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    own = cut(own.join(least, "component").select("high", "low", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"))
+    out = rows.select("vec_id", "high", "low").join(own, ["high", "low"], "left")
+    component = F.when(F.col("high").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("long")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id").cast("long")).alias("kept"))
 
 
-def _cell_pairs(cells: DataFrame, pivots: dict, limit: float) -> DataFrame:
-    """(label, dims, cell, other, other_blocks): cells of a label that can hold a linked pair, each way, itself included."""
-    right = cells.select("label", "dims", F.col("cell").alias("other"), F.col("away").alias("other_away"), F.col("blocks").alias("other_blocks"))
-    pairs = cells.join(right, ["label", "dims"])
-    rows = [(label, dims, i, j, float(math.sqrt(max(0.0, 2 - 2 * float(p[i] @ p[j]))))) for (label, dims), p in pivots.items() for i in range(len(p)) for j in range(len(p)) if i != j] if sum(len(p) ** 2 for p in pivots.values()) <= 1 << 18 else []
-    if not rows:
-        return pairs
-    kind = dict(cells.dtypes)["label"]
-    apart = cells.sparkSession.createDataFrame(rows, f"label {kind}, dims int, cell int, other int, apart double")
-    pairs = pairs.join(apart, ["label", "dims", "cell", "other"], "left")
-    return pairs.filter(F.coalesce("apart", F.lit(0.0)) <= F.col("away") + F.col("other_away") + limit + 1e-6)
+def _named(points: DataFrame, pivots: dict) -> DataFrame:
+    """(label, dims) of the labels with pivots: at most PIVOTS rows."""
+    kind = dict(points.dtypes)["label"]
+    return F.broadcast(points.sparkSession.createDataFrame(list(pivots), f"label {kind}, dims int"))
 
 
 def _compared(sent: DataFrame, cosine: float) -> DataFrame:
     """(a, b, links): the number of links of point a in a task (b null), and the links of a spanning forest (links null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != task:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            side, point, weight = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            units = batch.column(4)
+            starts = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]))
+            for a, b in zip(starts, starts[1:]):
+                if names[a] != task:
                     yield out(held)
-                    task, held = row[0], []
-                held.append(row[1:])
+                    task, held = names[a], []
+                held.append((side[a:b], point[a:b], weight[a:b], units.slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)))
         yield out(held)
 
     def out(held: list[tuple]) -> pa.RecordBatch:
         a, b, n = [], [], []
         if held:
-            side = np.array([h[0] for h in held])
-            names, weight, units = np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.array([h[3] for h in held])
+            side, names, weight, units = (np.concatenate(x) for x in zip(*held))
             if side[0] == 2:
                 tree = build(units)
                 count, _, top = dual(tree, tree, True, cosine, weight, weight)

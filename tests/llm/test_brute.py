@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -318,9 +319,49 @@ def test_cover_trees():
 def test_cover_tree_blocks(spark, tables, monkeypatch):
     whole = {r["vec_id"]: tuple(r) for r in queries.QUERIES["op10_cover_tree"](spark, tables).collect()}
     monkeypatch.setattr(cover_tree, "BLOCK", 16)
+    monkeypatch.setattr(cover_tree, "CELL", 6)
     assert {r["vec_id"]: tuple(r) for r in queries.QUERIES["op10_cover_tree"](spark, tables).collect()} == whole
 
 
+def clustered(n: int, dims: int = 8, seed: int = 5) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n // 20, dims))[rng.integers(0, n // 20, n)] + rng.normal(size=(n, dims)) * rng.choice([0.02, 0.1, 0.3], n)[:, None]
+
+
+@pytest.mark.parametrize("block, cell", [(100, 3), (30, 300), (50, 25)])
+def test_cover_tree_many_pivots(spark, monkeypatch, block, cell):
+    """Hundreds of cells in a label, blocks of many cells and cells of many blocks: every link is found."""
+    monkeypatch.setattr(cover_tree, "BLOCK", block)
+    monkeypatch.setattr(cover_tree, "CELL", cell)
+    x = clustered(2000)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.98
+    df = spark.createDataFrame([(i, v, "a" if i else "b") for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r["n_links"] for r in cover_tree.linked(df).collect()}
+    near[0] = near[:, 0] = False
+    np.fill_diagonal(near, False)
+    assert got == dict(enumerate(near.sum(1).tolist()))
+
+
+def test_cover_tree_sends_to_few_blocks(monkeypatch):
+    """On clustered vectors a point goes to its own block and a part of the others, also with more than 512 pivots."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 1024)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 16))[rng.integers(0, 2000, 40_000)] + rng.normal(size=(40_000, 16)) * 0.1
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    pivots = unit[:1000]
+    dots = unit @ pivots.T
+    cell = dots.argmax(1)
+    sizes = np.bincount(cell, minlength=1000)
+    radius = np.zeros(1000)
+    np.maximum.at(radius, cell, np.sqrt(np.maximum(0, 2 - 2 * dots.max(1))))
+    blocks = cover_tree.Blocks.of(pivots, sizes, radius)
+    many = (blocks.first + blocks.many).max()
+    assert many >= 40 and np.bincount(blocks.first[cell]).max() <= cover_tree.BLOCK
+    sent = blocks.reach(unit, cell, math.sqrt(0.04)).sum(1)
+    assert sent.min() >= 1 and sent.mean() < many / 4
+
+
 # --- mixing, licences, models
 
 
