@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 U64 = np.uint64
 #: Bytes of text that one numpy step works on; a longer text is one step of its own.
 STEP_BYTES = 1 << 21
+#: Rows of an Arrow batch where a table is cut.
+ARROW_ROWS, _ARROW = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CHUNK_BITS = 18
 _CHUNK = 1 << _CHUNK_BITS
 
@@ -48,10 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared folder, which lost executors leave in place.
 
     A table has its true size. A checkpoint keeps the estimate of its plan, and over rounds of joins estimates multiply
-    until planning itself runs out of memory.
+    until planning itself runs out of memory. Arrow batches have ARROW_ROWS rows at most meanwhile, since texts can be long and
+    a batch stands in the memory of both the executor and its Python worker.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    rows = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(ARROW_ROWS if int(rows) <= 0 else min(int(rows), ARROW_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, rows)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

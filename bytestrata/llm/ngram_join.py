@@ -54,7 +54,7 @@ SPARE, MANY_PARTS = 0.035, 8
 #: The most sets and elements of a block, about.
 BLOCK_SETS, BLOCK_ELEMENTS = 256, 2_000_000
 #: Entries that a task packs at once, sets that they can come from, and entries of a range.
-HELD, HELD_SETS, RANGE = 2_000_000, 1 << 16, 1 << 21
+HELD, HELD_SETS, RANGE = 1_000_000, 1 << 16, 1 << 21
 #: Elements of a set for each cell of its count vector, about.
 PER_CELL = 4
 _NAME = 0x9E3779B97F4A7C15
