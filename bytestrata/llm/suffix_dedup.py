@@ -9,9 +9,13 @@ every passage of the least length around such a suffix, up to its furthest exten
 compared in the same way, and overlapping ones join to maximal spans. The result is exact: a word is in a span if
 and only if it is in a passage of at least `least` words that another text has too.
 
-Equal texts are one text to the arrays; their documents repeat each other as a whole. Passages are told apart by
-64-bit hashes. What tasks are told about repeated grams and passages is a bit map of fixed size; where it says
-yes too often, more is compared, and an exact join decides.
+Neighbours in a sorted list of suffixes only tell the longest extension to the right. Of two texts that share a passage, each can
+have a neighbour that reaches further right and differs on the left, and the passage is lost when only neighbours are extended.
+So all places at which a passage around a suffix can begin are compared, each by a hash of its words, and not the suffixes alone.
+
+Equal texts are one text to the arrays; their documents repeat each other as a whole. Texts are told apart by 128 bits of hashes,
+passages by 64. What tasks are told about repeated grams and passages is a Bloom filter with 16 to 32 bits for each of them, up to
+2^MAP_BITS bits (32 MB); it goes beyond its size only where more are repeated, and then more is compared. An exact join decides.
 
 Defined results: a null or empty text has no words and no spans; a text shorter than a passage has none; repeated
 rows and copies repeat each other; passages that only repeat inside one text do not count; a null doc_id is
@@ -24,15 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from bytestrata.llm.common import _BASE, _INVERSE, _POW, _IPOW, U64, _powers, cut, gather, mix, pick, steps, word_hashes
+from bytestrata.llm.common import _BASE, _INVERSE, _POW, _IPOW, U64, _powers, cut, gather, mix, pick, steps, tidy, word_hashes
 
 #: The least words of a passage, and of the grams that stand for suffixes.
 LEAST, GRAM = 50, 25
-#: Bits of a place in the maps of repeated grams and passages (Bloom filters with three places for each hash): 4 MB each,
-#: at any size of the corpus.
-MAP_BITS = 25
+#: The most bits of a place in the maps of repeated grams and passages (Bloom filters with three places for each hash).
+MAP_BITS = 28
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -87,68 +90,76 @@ class Passages:
         return row, start - self.first[row], window_hashes(self.words, self.least)[start]
 
 
-def _map_of(repeated: DataFrame, column: str) -> np.ndarray:
-    """Bloom filter of a column of hashes, gathered as at most 2^(MAP_BITS - 6) words of 64 bits."""
-    mask = (1 << MAP_BITS) - 1
-    first, second = f"shiftrightunsigned({column}, {64 - MAP_BITS})", f"(shiftrightunsigned({column}, {64 - 2 * MAP_BITS}) & {mask})"
+def _map_of(repeated: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """Bloom filter of a column of hashes: the bits of a place, and words of 64 bits, gathered as rows of a word each."""
+    bits = min(MAP_BITS, max(12, repeated.count().bit_length() + 4))
+    mask = (1 << bits) - 1
+    first, second = f"shiftrightunsigned({column}, {64 - bits})", f"(shiftrightunsigned({column}, {64 - 2 * bits}) & {mask})"
     third = f"((shiftleft({column}, 11) | shiftrightunsigned({column}, 53)) & {mask})"
     places = repeated.select(F.explode(F.expr(f"array({first}, {second}, {third})")).alias("at"))
-    bits = places.selectExpr("at div 64 AS word", "shiftleft(1L, cast(at % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bit"))
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    got = bits.toPandas()
-    out[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
-    return out
+    words = places.selectExpr("at div 64 AS word", "shiftleft(1L, cast(at % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    got = words.toArrow()
+    out[got.column("word").to_numpy()] = got.column("bit").to_numpy()
+    return bits, out
 
 
-def _in_map(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    mask = U64((1 << MAP_BITS) - 1)
+def _in_map(filter_: tuple[int, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    bits, words = filter_
+    mask = U64((1 << bits) - 1)
     found = np.ones(len(hashes), bool)
-    for at in (hashes >> U64(64 - MAP_BITS), hashes >> U64(64 - 2 * MAP_BITS) & mask, (hashes << U64(11) | hashes >> U64(53)) & mask):
+    for at in (hashes >> U64(64 - bits), hashes >> U64(64 - 2 * bits) & mask, (hashes << U64(11) | hashes >> U64(53)) & mask):
         found &= words[(at >> U64(6)).astype(np.int64)].view(U64) >> (at & U64(63)) & U64(1) == 1
     return found
 
 
-def _collapsed(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts suffixes by hash and compares neighbours: each hash once, with the least and the greatest text that has it."""
-    order = np.lexsort((texts, hashes))
-    hashes, texts = hashes[order], texts[order]
-    first = np.ones(len(hashes), bool)
-    first[1:] = hashes[1:] != hashes[:-1]
-    starts = np.flatnonzero(first)
-    ends = np.concatenate((starts[1:], [len(hashes)])) - 1 if len(starts) else starts
-    return hashes[starts], texts[starts], texts[ends]
+def _collapsed(hashes: np.ndarray, *texts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorts suffixes by hash and compares neighbours: each hash once, with the least and the greatest of each name of its texts."""
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+    out = [hashes[starts]]
+    for names in texts:
+        out += [f.reduceat(names[order], starts) if len(starts) else names for f in (np.minimum, np.maximum)]
+    return tuple(out)
+
+
+_TEXT = ("text_id", "text_id2")
+_ENDS = ("low", "high", "low2", "high2")
 
 
 def _repeated(texts: DataFrame, find, column: str, least: int, gram: int) -> DataFrame:
     """Hashes that two different texts have. find: from a step's Passages to the rows and hashes in question."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, names, size = [], [], 0
+        held, names, size = [], ([], []), 0
         for batch in batches:
             for part, buf, offsets in steps(batch, "text"):
                 row, hashes = find(Passages(buf, offsets, least, gram))
                 held.append(hashes)
-                names.append(part.column(0).to_numpy()[row])
+                for i in range(2):
+                    names[i].append(part.column(i).to_numpy()[row])
                 size += len(hashes)
-            if size > 300_000:
-                yield out(held, names)
-                held, names, size = [], [], 0
+                if size > 300_000:
+                    yield out(held, names)
+                    held, names, size = [], ([], []), 0
         if size:
             yield out(held, names)
 
-    def out(held: list, names: list) -> pa.RecordBatch:
-        h, low, high = _collapsed(np.concatenate(held), np.concatenate(names))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(low), pa.array(high)], [column, "low", "high"])
+    def out(held: list, names: tuple[list, list]) -> pa.RecordBatch:
+        h, *ends = _collapsed(np.concatenate(held), *map(np.concatenate, names))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, ends)], [column, *_ENDS])
 
-    found = texts.mapInArrow(run, f"{column} long, low long, high long")
-    return found.groupBy(column).agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select(column)
+    found = texts.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in (column, *_ENDS)))
+    ends = [(F.min if c.startswith("low") else F.max)(c).alias(c) for c in _ENDS]
+    return found.groupBy(column).agg(*ends).filter("low <> high or low2 <> high2").select(column)
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(text_id, spans): for every text with words that another text repeats, the maximal spans (start, end), by words."""
-    own = pick(docs, "text").filter("text is not null").select(F.xxhash64("text").alias("text_id"), "text")
+    """(text_id, text_id2, spans): for every text with words that another text repeats, the maximal spans (start, end), by words."""
+    own = pick(docs, "text").filter("text is not null").select(*text_names(), "text")
 
-    grams = _map_of(_repeated(own, lambda p: (p.row, p.grams[p.at]), "gram", least, gram), "gram")
+    grams = _map_of(cut(_repeated(own, lambda p: (p.row, p.grams[p.at]), "gram", least, gram)), "gram")
 
     def extended(p: Passages) -> tuple[np.ndarray, np.ndarray]:
         row, _, hashes = p.around(_in_map(grams, p.grams[p.at]))
@@ -158,27 +169,32 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     known = _map_of(passages, "passage")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part, buf, offsets in steps(batch, "text"):
-                names = part.column(0).to_numpy()
+                names = [part.column(i).to_numpy() for i in range(2)]
                 p = Passages(buf, offsets, least, gram)
                 row, start, hashes = p.around(_in_map(grams, p.grams[p.at]))
-                fresh = np.array([n not in seen and not seen.add(n) for n in names.tolist()], bool)
+                fresh = np.array([n not in seen and not seen.add(n) for n in zip(*(x.tolist() for x in names))], bool)
                 keep = _in_map(known, hashes) & fresh[row]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(names[row[keep]]), pa.array(start[keep], pa.int32())], ["passage", "text_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), *(pa.array(x[row[keep]]) for x in names), pa.array(start[keep], pa.int32())], ["passage", *_TEXT, "start"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = []
-            for starts in batch.column(1):
+            for starts in batch.column(2):
                 s = np.unique(starts.values.to_numpy())
                 breaks = np.flatnonzero(np.diff(s) > least)
                 spans.append([{"start": int(a), "end": int(b) + least} for a, b in zip(s[np.concatenate(([0], breaks + 1))], s[np.concatenate((breaks, [len(s) - 1]))])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["text_id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [*_TEXT, "spans"])
+
+    found = own.mapInArrow(tidy(occurrences), "passage long, text_id long, text_id2 long, start int").join(passages, "passage", "left_semi")
+    return found.groupBy(*_TEXT).agg(F.collect_set("start").alias("starts")).mapInArrow(tidy(joined), "text_id long, text_id2 long, spans array<struct<start:int,end:int>>")
+
 
-    found = own.mapInArrow(occurrences, "passage long, text_id long, start int").join(passages, "passage", "left_semi")
-    return found.groupBy("text_id").agg(F.collect_set("start").alias("starts")).mapInArrow(joined, "text_id long, spans array<struct<start:int,end:int>>")
+def text_names() -> list[Column]:
+    """Two hashes of column text, 128 bits together."""
+    return [F.xxhash64("text").alias("text_id"), F.xxhash64(F.lit(7), "text").alias("text_id2")]
 
 
 def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -187,11 +203,11 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     spans lists start:end by words, end exclusive, comma-joined. A document with an equal copy repeats as a whole.
     """
     own = pick(docs, "doc_id", "text").filter("text is not null")
-    own = cut(own.select("doc_id", F.xxhash64("text").alias("text_id"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("int").alias("n_words")))
-    copies = own.filter(F.col("n_words") >= least).groupBy("text_id").agg(F.count("*").alias("copies")).filter("copies > 1")
+    own = cut(own.select("doc_id", *text_names(), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("int").alias("n_words")))
+    copies = own.filter(F.col("n_words") >= least).groupBy(*_TEXT).agg(F.count("*").alias("copies")).filter("copies > 1")
     spans = cut(repeated_spans(docs, least, gram))
-    marked = spans.join(copies, "text_id", "full")
-    out = own.join(marked, "text_id")
+    marked = spans.join(copies, [*_TEXT], "full")
+    out = own.join(marked, [*_TEXT])
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
     out = out.withColumn("spans", F.when(F.col("copies").isNotNull(), whole).otherwise(F.col("spans")))
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
