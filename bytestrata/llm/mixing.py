@@ -88,9 +88,10 @@ def mix(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHEDULES, share
     taken counts words. The last copy that a source's demand reaches is taken in part, so that the words
     taken from a source add up to its target, rounded.
     """
-    sized = pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")))
-    sized = cut(sized.withColumn("key", key))
+    size = word_count(F.col("text"))
+    # the text is in the key, so that rows without a doc_id of their own still spread over the buckets
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), size.cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    sized = cut(pick(docs, "doc_id", "source", "text").select("doc_id", "source", size.alias("size"), key.alias("key")))
     digits, rows = 1, sized.count()
     while rows > BUCKET_ROWS * 16**digits:
         digits += 1
@@ -145,9 +146,9 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS content FROM documents
 ), keyed AS (
-  SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(size AS VARCHAR)) AS key FROM sized
+  SELECT doc_id, source, size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(size AS VARCHAR) || ':' || content) AS key FROM sized
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source
 ), named AS (
