@@ -33,7 +33,7 @@ from bytestrata.llm.common import cut, pick
 THRESHOLD, FILE_SHARE = 0.6, 0.5
 #: Running prose shares its commonest words with long texts, so that a whole text must be closer than a header.
 TEXT_THRESHOLD = 0.85
-CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|all rights reserved|public domain|redistribution"
+CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|permission to use|all rights reserved|public domain|redistribut|warrant(?:y|ies)|merchantab|provided .{0,4}as is"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)(\.[a-z]+)?$"
 #: How a line of a comment begins.
 COMMENT = r"[ \t]*(?:\*|#|//|/\*|--|;|%|<!--)"

@@ -39,3 +39,12 @@ def test_whole_texts(spark):
     for i, (name, _) in enumerate(own):
         assert (got[i]["license"], got[i]["origin"]) == (name, "header") and got[i]["score"] >= licenses.TEXT_THRESHOLD
         assert (got[100 + i]["license"], got[100 + i]["license_path"]) == (name, f"/d{i}/terms.txt")
+
+
+def test_every_template_has_a_cue():
+    """What is compared at all: each notice and text that is known has a cue, and so have their usual last paragraphs."""
+    cue = re.compile(licenses.CUE)
+    assert all(cue.search(text) for _, text in licenses.TEMPLATES + licenses.TEXTS)
+    for name, text in licenses.TEXTS:
+        if name in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Unlicense"):
+            assert cue.search(re.split(r"\n\s*\n", text.strip())[-1]), name
