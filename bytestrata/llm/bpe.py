@@ -27,7 +27,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from bytestrata.llm.common import gather, pick, steps
+from bytestrata.llm.common import gather, pick, steps, tidy
 
 #: Bytes of the longest piece that is merged in a matrix.
 LONG = 256
@@ -72,6 +72,8 @@ class Vocabulary:
         by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             by_id[rank] = piece
+        if len(by_id) > 1 << 20:
+            raise ValueError("pairs of ranks of 2^20 and more do not fit a key")
         self.known = np.zeros(len(by_id), bool)
         self.known[list(ranks.values())] = True
         self.bytes = Segments(by_id, np.uint8)
@@ -245,7 +247,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
                 ids, at = coder.encode([t or "" for t in part.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], [*keep, "ids"])
 
-    return own.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in own.dtypes[:-1]) + ", ids array<int>")
+    return own.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in own.dtypes[:-1]) + ", ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -258,7 +260,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
             texts = [vocabulary.decode(np.array(x or [], np.int64)) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.binary())], [*keep, "bytes"])
 
-    return own.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in own.dtypes[:-1]) + ", bytes binary")
+    return own.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in own.dtypes[:-1]) + ", bytes binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -279,4 +281,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return own.mapInArrow(tidy(run), f"doc_id {own.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

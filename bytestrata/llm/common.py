@@ -7,6 +7,7 @@ and hashed on the bytes of a whole Arrow batch at once.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -39,10 +40,13 @@ def carried(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, for all executors; one of this machine only where it is unset."""
+    """The folder that spark.checkpoint.dir names, for all executors; one of this machine where it is unset and Spark runs on this machine alone."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bytestrata-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="bytestrata-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -60,7 +64,17 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_ARROW, rows)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that cut() wrote; all that was made from them has been written."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df._folder)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(df: DataFrame) -> None:
@@ -69,6 +83,25 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns memory that is free to the system: Python workers are kept between tasks, and theirs counts beside the executor's."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """An Arrow function that gives free memory back when its task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 # --- hashes ---------------------------------------------------------------
 
 

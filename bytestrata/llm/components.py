@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bytestrata.llm.common import cut
+from bytestrata.llm.common import cut, tidy
 
 
 def forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -44,7 +44,7 @@ def thinned(links: DataFrame) -> DataFrame:
     def out(held: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in held], pa.int64()), pa.array([b for _, b in held], pa.int64())], ["a", "b"])
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

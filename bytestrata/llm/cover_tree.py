@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bytestrata.llm.common import cut, pick
+from bytestrata.llm.common import cut, pick, tidy
 from bytestrata.llm.components import components
 
 COSINE = 0.98
@@ -314,7 +314,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                     away[at] = np.sqrt(np.maximum(0, 2 - 2 * dots.max(1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(away)], ["label", "unit", "point", "weight", "cell", "away"])
 
-    placed = points.select("label", "unit", "point", "weight").mapInArrow(cell, f"label {kind}, unit array<double>, point long, weight long, cell int, away double").withColumn("dims", F.size("unit"))
+    placed = points.select("label", "unit", "point", "weight").mapInArrow(tidy(cell), f"label {kind}, unit array<double>, point long, weight long, cell int, away double").withColumn("dims", F.size("unit"))
     blocks: dict[tuple, Blocks] = {}
     if pivots:
         placed = cut(placed)
@@ -341,7 +341,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 places = [pa.array(x.astype(np.int32)) for x in (np.minimum(own, other), np.maximum(own, other), side)]
                 yield pa.RecordBatch.from_arrays([*places, *keep.columns], ["low", "high", "side", "label", "point", "weight", "unit"])
 
-    sent = placed.select("label", "unit", "point", "weight", "cell").mapInArrow(send, f"low int, high int, side int, label {kind}, point long, weight long, unit array<double>")
+    sent = placed.select("label", "unit", "point", "weight", "cell").mapInArrow(tidy(send), f"low int, high int, side int, label {kind}, point long, weight long, unit array<double>")
     task = F.concat_ws("|", F.col("label").cast("string"), F.size("unit").cast("string"), F.col("low").cast("string"), F.col("high").cast("string"))
     found = cut(_compared(sent.select(task.alias("task"), "side", "point", "weight", "unit"), cosine))
     counts = found.filter("links is not null").groupBy(F.col("a").alias("point")).agg(F.sum("links").alias("links"))
@@ -401,7 +401,7 @@ def _compared(sent: DataFrame, cosine: float) -> DataFrame:
             a += every[top[other]].tolist()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "links"])
 
-    return sent.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, links long")
+    return sent.repartition("task").sortWithinPartitions("task").mapInArrow(tidy(run), "a long, b long, links long")
 
 
 ORACLE = r"""

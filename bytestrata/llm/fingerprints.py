@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bytestrata.llm.common import STEP_BYTES, buffer_of, partitions, pick, shingle_hashes, steps, word_hashes
+from bytestrata.llm.common import STEP_BYTES, buffer_of, partitions, pick, shingle_hashes, steps, tidy, word_hashes
 
 WORDS = 5
 #: Hashes in a sketch: the standard error of a likeness J is sqrt(J * (1 - J) / K).
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
             for part, _, _ in steps(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype(">u8").tobytes() for s in sketches(part.column(1), k, words)], pa.binary())], ["doc_id", "sketch"])
 
-    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, sketch binary")
+    return own.mapInArrow(tidy(run), f"doc_id {own.dtypes[0][1]}, sketch binary")
 
 
 def merged(parts: DataFrame, by: str, k: int = K) -> DataFrame:
@@ -127,7 +127,7 @@ def merged(parts: DataFrame, by: str, k: int = K) -> DataFrame:
 
     schema = f"`{by}` {own.dtypes[0][1]}, sketch binary"
     # in the second pass equal keys stand together, so one held key is enough
-    return own.mapInArrow(reduce(20_000), schema).repartition(F.col(by)).sortWithinPartitions(by).mapInArrow(reduce(1), schema)
+    return own.mapInArrow(tidy(reduce(20_000)), schema).repartition(F.col(by)).sortWithinPartitions(by).mapInArrow(tidy(reduce(1)), schema)
 
 
 def sketch_bytes(sketch: bytes | None) -> np.ndarray:
@@ -166,7 +166,7 @@ def compared(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
 
     # one row per range and task, then one per range; ranges are as many as was asked for above
     none = F.max(F.col("doc_id").isNull())
-    heads = own.select(F.col("doc_id").cast("long")).mapInArrow(least, "range int, doc_id long").groupBy("range").agg(F.when(~none, F.min("doc_id")).alias("doc_id")).collect()
+    heads = own.select(F.col("doc_id").cast("long")).mapInArrow(tidy(least), "range int, doc_id long").groupBy("range").agg(F.when(~none, F.min("doc_id")).alias("doc_id")).collect()
     heads = sorted((r["range"], r["doc_id"]) for r in heads)
     back = {heads[j][0]: (heads[j - 1][0], heads[j][1]) for j in range(len(heads))}
 
@@ -195,10 +195,10 @@ def compared(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
                     yield from _likenesses(rows, k, words)
 
     kind = own.dtypes[0][1]
-    moved = own.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "`range` int, extra int, doc_id long, text string")
+    moved = own.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(deal), "`range` int, extra int, doc_id long, text string")
     # of the documents that a range gets from the next one only the first counts: the others follow it, and are extra
     moved = moved.repartition(partitions(docs), "range").sortWithinPartitions("range", "extra", F.col("doc_id").asc_nulls_first(), "text")
-    return moved.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return moved.mapInArrow(tidy(compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _with(batch: pa.RecordBatch, ranges: np.ndarray, extra: int) -> pa.RecordBatch:

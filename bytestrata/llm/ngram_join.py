@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from bytestrata.llm.common import U64, carried, cut, gather, mix, partitions, pick, release, shingle_hashes, steps, word_hashes
+from bytestrata.llm.common import U64, carried, cut, discard, gather, mix, partitions, pick, release, shingle_hashes, steps, tidy, word_hashes
 from bytestrata.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -247,7 +247,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
                 counts = pa.array([cell_counts(s) if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()), counts], ["doc_id", "n_shingles", "high", "low", "counts"])
 
-    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, n_shingles long, high long, low long, counts binary")
+    return own.mapInArrow(tidy(run), f"doc_id {own.dtypes[0][1]}, n_shingles long, high long, low long, counts binary")
 
 
 # --- candidates ------------------------------------------------------------
@@ -316,7 +316,7 @@ def sent(docs: DataFrame, words: int, percent: int, ranges: int) -> DataFrame:
             ["range", "pack", "signatures", "sets"],
         )
 
-    return pick(docs, "text").mapInArrow(run, "range int, pack long, signatures binary, sets binary")
+    return pick(docs, "text").mapInArrow(tidy(run), "range int, pack long, signatures binary, sets binary")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,16 +368,16 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((pack << 16) + np.arange(len(names))), pa.array(names[:, 0]), pa.array(names[:, 1])], ["at", "high", "low"])
 
 
-def candidates(docs: DataFrame, names: DataFrame, words: int, percent: int, ranges: int) -> DataFrame:
-    """(a, b, many): distinct links, by id, of the stars of all signatures."""
-    found = cut(sent(docs, words, percent, ranges).repartition("range").sortWithinPartitions("range").mapInArrow(_stars, "a long, b long, many boolean, names binary"))
+def candidates(docs: DataFrame, names: DataFrame, words: int, percent: int, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b, many): distinct links, by id, of the stars of all signatures; and two tables that they are made from."""
+    found = cut(sent(docs, words, percent, ranges).repartition("range").sortWithinPartitions("range").mapInArrow(tidy(_stars), "a long, b long, many boolean, names binary"))
     release(docs)
-    where = found.filter("names is not null").select("a", "names").mapInArrow(_named, "at long, high long, low long")
+    where = found.filter("names is not null").select("a", "names").mapInArrow(tidy(_named), "at long, high long, low long")
     where = cut(where.join(names.select("id", "high", "low"), ["high", "low"]).select("at", "id"))
     links = found.filter("names is null").groupBy("a", "b").agg(F.max("many").alias("many"))
     for end in ("a", "b"):
         links = links.join(where.select(F.col("at").alias(end), F.col("id").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
-    return links.filter("a <> b").groupBy("a", "b").agg(F.max("many").alias("many"))
+    return links.filter("a <> b").groupBy("a", "b").agg(F.max("many").alias("many")), found, where
 
 
 def possible(links: DataFrame, names: DataFrame, percent: int) -> DataFrame:
@@ -395,7 +395,7 @@ def possible(links: DataFrame, names: DataFrame, percent: int) -> DataFrame:
 
     for end in ("a", "b"):
         links = links.join(names.select(F.col("id").alias(end), F.col("n_shingles").alias(f"{end}_n"), F.col("counts").alias(f"{end}_counts")), end)
-    return links.select("a", "b", "many", "a_n", "a_counts", "b_n", "b_counts").mapInArrow(run, "a long, b long, many boolean, ok boolean")
+    return links.select("a", "b", "many", "a_n", "a_counts", "b_n", "b_counts").mapInArrow(tidy(run), "a long, b long, many boolean, ok boolean")
 
 
 def within(tried: DataFrame, names: DataFrame, percent: int) -> DataFrame:
@@ -446,7 +446,7 @@ def _compared(dealt: DataFrame, compare) -> DataFrame:
             links = [(order[i], order[j]) for i, j in tree(found)]
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(tidy(run), "a long, b long")
 
 
 # --- exact comparison ------------------------------------------------------
@@ -482,7 +482,7 @@ def members_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
                         rows.append((*name, s.astype("<u8").tobytes(), len(s)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["high", "low", "elements", "n_shingles"])
 
-    found = pick(docs, "text").mapInArrow(run, "high long, low long, elements binary, n_shingles long")
+    found = pick(docs, "text").mapInArrow(tidy(run), "high long, low long, elements binary, n_shingles long")
     found = found.join(members.select("id", "high", "low"), ["high", "low"])
     return found.dropDuplicates(["id"]).select("id", "elements", "n_shingles")
 
@@ -510,7 +510,7 @@ def thin(links: DataFrame) -> DataFrame:
                 up.clear()
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], ["a", "b"])
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return links.select("a", "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def spanning(links: DataFrame, close: DataFrame) -> DataFrame:
@@ -571,9 +571,13 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     ranges = min(1 << 23, max(8 * partitions(docs), math.ceil(shingles / RANGE)))
     names = rows.filter("high is not null").groupBy("high", "low").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.first("counts").alias("counts"))
     names = cut(names.withColumn("id", F.monotonically_increasing_id()))
-    tried = cut(possible(candidates(docs, names, words, percent, ranges), names, percent))
+    stars, *sources = candidates(docs, names, words, percent, ranges)
+    tried = cut(possible(stars, names, percent))
+    discard(*sources)
     release(docs)
-    links = cut(thin(tried.filter("ok").select("a", "b").unionByName(within(tried, names, percent))))
+    inside = cut(within(tried, names, percent))
+    links = cut(thin(tried.filter("ok").select("a", "b").unionByName(inside)))
+    discard(tried, inside)
     close = cut(components(links))
     members = names.join(close.withColumnRenamed("node", "id"), "id").select("id", "high", "low", "n_shingles", "component")
     sets = cut(members_sets(docs, members, words))
@@ -586,6 +590,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     open_ = cut(state.join(apart.select("component", "main"), "component").select("id", "n_shingles", "component", "part", "main"))
     if not open_.isEmpty():
         sure = cut(sure.unionByName(verified(sets, block_tasks(open_, percent), percent)))
+    discard(sets)
     release(docs)
     linked = components(sure).withColumnRenamed("node", "id")
     together = names.select("id", "high", "low", "least").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -610,7 +615,7 @@ def _with_sets(docs: DataFrame, words: int) -> DataFrame:
                 names = [set_name(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([n[i] for n in names], pa.int64()) for i in range(2))], [*part.schema.names, "_high", "_low"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_high", LongType()), StructField("_low", LongType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("_high", LongType()), StructField("_low", LongType())]))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

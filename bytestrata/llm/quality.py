@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bytestrata.llm.common import U64, held_out, learning_rows, mix, pick, span_hashes, spans, steps, _SEPARATOR
+from bytestrata.llm.common import U64, held_out, learning_rows, mix, pick, span_hashes, spans, steps, _SEPARATOR, tidy
 
 #: Labelled documents to learn from, at most.
 LEARN = 4096
@@ -164,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN) -> Field:
         values = [*field.weights.tolist(), *field.ties.ravel().tolist(), field.prior]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values)], ["at", "value"])
 
-    got = learning_rows(docs, labels, "quality", most).coalesce(1).mapInArrow(run, "at int, value double").toPandas().sort_values("at")["value"].to_numpy()
+    got = learning_rows(docs, labels, "quality", most).coalesce(1).mapInArrow(tidy(run), "at int, value double").toPandas().sort_values("at")["value"].to_numpy()
     if not len(got):
         return Field(np.zeros(WIDTH), np.zeros((2, 2)), 0.5)
     return Field(got[:WIDTH], got[WIDTH : WIDTH + 4].reshape(2, 2), float(got[-1]))
@@ -179,7 +179,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
             for part, buf, offsets in steps(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(field.scores(buf, offsets))], ["doc_id", "score"])
 
-    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, score double")
+    return own.mapInArrow(tidy(run), f"doc_id {own.dtypes[0][1]}, score double")
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:

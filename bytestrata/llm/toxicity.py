@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bytestrata.llm.common import _LOWER, U64, carried, held_out, learning_rows, mix, pick, span_hashes, spans, steps
+from bytestrata.llm.common import _LOWER, U64, carried, held_out, learning_rows, mix, pick, span_hashes, spans, steps, tidy
 
 BITS = 20
 #: Labelled documents to learn from, at most.
@@ -110,7 +110,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN) -> Model:
         model = fit(rows, np.array(marks, float)) if rows else Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([*model.at.tolist(), -1], pa.int64()), pa.array([*model.weights.tolist(), model.bias], pa.float64())], ["at", "weight"])
 
-    got = learning_rows(docs, labels, "toxic", most).coalesce(1).mapInArrow(run, "at long, weight double").toPandas()
+    got = learning_rows(docs, labels, "toxic", most).coalesce(1).mapInArrow(tidy(run), "at long, weight double").toPandas()
     own = got[got["at"] >= 0]
     return Model(own["at"].to_numpy(np.int64), own["weight"].to_numpy(float), float(got.loc[got["at"] < 0, "weight"].sum()))
 
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             for part, buf, offsets in steps(batch, "text"):
                 yield pa.RecordBatch.from_arrays([*map(part.column, where.values()), pa.array(model.scores(buf, offsets, table))], [*where, "score"])
 
-    return own.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in where) + ", score double")
+    return own.mapInArrow(tidy(run), ", ".join(f"`{n}` {kinds[n]}" for n in where) + ", score double")
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:

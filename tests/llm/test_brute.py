@@ -64,6 +64,20 @@ def test_bpe_long_pieces(text):
     assert ids.tolist() == REFERENCE.encode_ordinary(text)
 
 
+def test_bpe_every_code_point():
+    """The same tokens as the tokenizer library's for every code point, beside letters, numbers and spaces, with the installed editions of Unicode."""
+    for low in range(0, 0x110000, 1 << 12):
+        text = "\n".join(f"a{chr(c)}b1{chr(c)}2 {chr(c)}" for c in range(low, low + (1 << 12)) if not 0xD800 <= c <= 0xDFFF)
+        pieces = [p.encode() for p in VOCABULARY.split(text)]
+        assert b"".join(pieces) == text.encode()
+        assert [i for p in VOCABULARY.encode_pieces(pieces) for i in p.tolist()] == REFERENCE.encode_ordinary(text), hex(low)
+
+
+def test_bpe_refuses_large_ranks():
+    with pytest.raises(ValueError):
+        bpe.Vocabulary({b"a": 1 << 20}, "a")
+
+
 def test_bpe_query(spark, tables):
     texts = dict(documents(tables))
     for r in queries.QUERIES["op6_bpe"](spark, tables).collect():
