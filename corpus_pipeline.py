@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bytestrata.llm import bpe, mixing, ngram_join, secrets, toxicity
-from bytestrata.llm.common import cut, pick
+from bytestrata.llm.common import cut, discard, pick
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage for the documents of a folder; what each stage keeps is written before the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        discard(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
