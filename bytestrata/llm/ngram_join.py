@@ -15,12 +15,12 @@ are added, not multiplied. Of the last of DIVISIONS divisions weak signatures ar
 shape is the same at any number of documents.
 
 Sets with a common signature are candidates: stars around one of them. A star's links are ruled out by the counts of
-elements by cell, which differ by no more than similar sets' may. Where a star of several sets loses a link, all
-of its sets are compared with each other by counts, in blocks, so that what stands by chance in one signature does
-not chain dissimilar sets together. A spanning forest of the links that are left is then compared element by element.
-Only where that leaves a component of candidates in several parts, the sets outside the largest part are compared exactly
-with each other and with the largest part, in blocks of bounded size; only spanning forests of links leave a task.
-Equal sets are one set throughout, so copies cost nothing.
+elements by cell, which differ by no more than similar sets' may, and a spanning forest of those that are left is compared
+element by element. What that connects are parts. Where a star has sets of several parts, those outside of its centre's part are
+compared by counts with each other and with that part, so that what stands by chance in one signature does not chain
+dissimilar sets together; the links of that are compared exactly too. Only where a component of candidates is then still in
+several parts, the sets outside the largest part are compared exactly with each other and with the largest part, in blocks
+of bounded size; only spanning forests of links leave a task. Equal sets are one set throughout, so copies cost nothing.
 
 What is shuffled: packed signatures by range of their value, 40 bits of each beside the range, and 16 bits for the set. A
 range is read as a stream and holds one entry for each signature, however many sets share it.
@@ -55,6 +55,8 @@ SPARE, MANY_PARTS = 0.035, 8
 BLOCK_SETS, BLOCK_ELEMENTS = 256, 2_000_000
 #: Entries that a task packs at once, sets that they can come from, and entries of a range.
 HELD, HELD_SETS, RANGE = 1_000_000, 1 << 16, 1 << 21
+#: Sets whose links one task thins, about.
+SPANNED = 512
 #: Elements of a set for each cell of its count vector, about.
 PER_CELL = 4
 _NAME = 0x9E3779B97F4A7C15
@@ -398,17 +400,22 @@ def possible(links: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     return links.select("a", "b", "many", "a_n", "a_counts", "b_n", "b_counts").mapInArrow(tidy(run), "a long, b long, many boolean, ok boolean")
 
 
-def within(tried: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """(a, b): of stars of several sets that lost a link, the possible links between all of their sets, as spanning forests."""
-    lost = tried.filter("many and not ok").select("a").distinct()
-    stars = tried.filter("many").join(lost, "a", "left_semi")
-    members = cut(stars.select(F.col("a").alias("star"), F.col("b").alias("id")).unionByName(lost.select(F.col("a").alias("star"), F.col("a").alias("id"))))
-    size = members.groupBy("star").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    own = members.join(size, "star").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    task = F.concat_ws(":", F.col("star").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
-    dealt = own.select(task.alias("task"), side.alias("side"), "id").join(names.select("id", "counts", "n_shingles"), "id")
+def within(tried: DataFrame, parts: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of stars of several sets that are not one part (id, part), the possible links between their sets, as spanning forests.
+
+    Stars around sets of one part are taken together. Their sets outside of the part are compared, by counts, with each
+    other and with those in it.
+    """
+    stars = tried.filter("many").select("a", "b")
+    for end in ("a", "b"):
+        stars = stars.join(parts.select(F.col("id").alias(end), F.col("part").alias(f"{end}_part")), end, "left").withColumn(f"{end}_part", F.coalesce(f"{end}_part", end))
+    stars = cut(stars)
+    wide = stars.filter("a_part <> b_part").select("a_part").distinct()
+    stars = stars.join(wide, "a_part", "left_semi")
+    ends = [stars.select(F.col("a_part").alias("component"), F.col(e).alias("id"), F.col(f"{e}_part").alias("part")) for e in ("a", "b")]
+    members = ends[0].unionByName(ends[1]).distinct().withColumn("main", F.col("component"))
+    members = cut(members.join(names.select("id", "n_shingles"), "id"))
+    dealt = block_tasks(members, percent).join(names.select("id", "counts", "n_shingles"), "id")
     compare = lambda x, n, y, m: maybe(x, n, y, m, percent)
     return _compared(dealt.select("task", "side", "id", "counts", "n_shingles"), compare)
 
@@ -515,7 +522,7 @@ def thin(links: DataFrame) -> DataFrame:
 
 def spanning(links: DataFrame, close: DataFrame) -> DataFrame:
     """Few links (a, b) that still connect the components (node, component): a large one's are thinned in several tasks."""
-    size = close.groupBy("component").agg(F.ceil(F.count("*") / (1 << 16)).alias("tasks"))
+    size = close.groupBy("component").agg(F.ceil(F.count("*") / SPANNED).alias("tasks"))
     own = close.join(size, "component").select(F.col("node").alias("a"), "component", "tasks")
     together = links.join(own, "a").withColumn("part", F.pmod(F.xxhash64("b"), "tasks"))
     return thin(together.repartition("component", "part"))
@@ -575,14 +582,27 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     tried = cut(possible(stars, names, percent))
     discard(*sources)
     release(docs)
-    inside = cut(within(tried, names, percent))
-    links = cut(thin(tried.filter("ok").select("a", "b").unionByName(inside)))
-    discard(tried, inside)
+    links = cut(thin(tried.filter("ok")))
     close = cut(components(links))
-    members = names.join(close.withColumnRenamed("node", "id"), "id").select("id", "high", "low", "n_shingles", "component")
-    sets = cut(members_sets(docs, members, words))
+    where = names.select("id", "high", "low", "n_shingles")
+    sets = cut(members_sets(docs, where.join(close.select(F.col("node").alias("id")), "id", "left_semi"), words))
     sure = cut(verified(sets, edge_tasks(cut(spanning(links, close)), names), percent))
-    part = components(sure).select(F.col("node").alias("id"), F.col("component").alias("part"))
+    part = cut(components(sure).select(F.col("node").alias("id"), F.col("component").alias("part")))
+    inside = cut(within(tried, part, names, percent))
+    discard(tried)
+    if not inside.isEmpty():
+        links = cut(links.unionByName(thin(inside)))
+        close = cut(components(links))
+        more = cut(where.join(close.select(F.col("node").alias("id")), "id", "left_semi").join(sets.select("id"), "id", "left_anti"))
+        if not more.isEmpty():
+            had, sets = sets, cut(sets.unionByName(members_sets(docs, more, words)))
+            discard(had)
+        apart = inside.join(part.select(F.col("id").alias("a"), F.col("part").alias("x")), "a", "left").join(part.select(F.col("id").alias("b"), F.col("part").alias("y")), "b", "left")
+        apart = cut(apart.filter("coalesce(x, a) <> coalesce(y, b)").select("a", "b"))
+        sure = cut(sure.unionByName(verified(sets, edge_tasks(apart, names), percent)))
+        part = components(sure).select(F.col("node").alias("id"), F.col("component").alias("part"))
+    release(docs)
+    members = where.join(close.withColumnRenamed("node", "id"), "id").select("id", "n_shingles", "component")
     state = cut(members.join(part, "id", "left").withColumn("part", F.coalesce("part", "id")))
     parts = state.groupBy("component", "part").agg(F.count("*").alias("many"))
     # of two sets the only link has been compared
