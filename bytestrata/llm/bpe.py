@@ -257,7 +257,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = encoder(name, pattern).vocabulary
         for batch in batches:
-            texts = [vocabulary.decode(np.array(x or [], np.int64)) for x in batch.column(len(keep)).to_pylist()]
+            texts = [vocabulary.decode(np.array([i for i in x or [] if i is not None], np.int64)) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.binary())], [*keep, "bytes"])
 
     return own.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in own.dtypes[:-1]) + ", bytes binary")
