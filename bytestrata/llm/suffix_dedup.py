@@ -14,7 +14,7 @@ have a neighbour that reaches further right and differs on the left, and the pas
 So all places at which a passage around a suffix can begin are compared, each by a hash of its words, and not the suffixes alone.
 
 Equal texts are one text to the arrays; their documents repeat each other as a whole. Texts are told apart by 128 bits of hashes,
-passages by 64. What tasks are told about repeated grams and passages is a Bloom filter with 16 to 32 bits for each of them, up to
+passages by 64. What tasks are told about repeated grams and passages is a Bloom filter with 8 to 16 bits for each of them, up to
 2^MAP_BITS bits (32 MB); it goes beyond its size only where more are repeated, and then more is compared. An exact join decides.
 
 Defined results: a null or empty text has no words and no spans; a text shorter than a passage has none; repeated
@@ -36,6 +36,7 @@ from bytestrata.llm.common import _BASE, _INVERSE, _POW, _IPOW, U64, _powers, cu
 LEAST, GRAM = 50, 25
 #: The most bits of a place in the maps of repeated grams and passages (Bloom filters with three places for each hash).
 MAP_BITS = 28
+_PIECE = 1024
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -91,16 +92,28 @@ class Passages:
 
 
 def _map_of(repeated: DataFrame, column: str) -> tuple[int, np.ndarray]:
-    """Bloom filter of a column of hashes: the bits of a place, and words of 64 bits, gathered as rows of a word each."""
-    bits = min(MAP_BITS, max(12, repeated.count().bit_length() + 4))
+    """Bloom filter of a column of hashes: the bits of a place, and words of 64 bits, gathered as pieces of _PIECE words."""
+    bits = min(MAP_BITS, max(12, repeated.count().bit_length() + 3))
     mask = (1 << bits) - 1
     first, second = f"shiftrightunsigned({column}, {64 - bits})", f"(shiftrightunsigned({column}, {64 - 2 * bits}) & {mask})"
     third = f"((shiftleft({column}, 11) | shiftrightunsigned({column}, 53)) & {mask})"
     places = repeated.select(F.explode(F.expr(f"array({first}, {second}, {third})")).alias("at"))
     words = places.selectExpr("at div 64 AS word", "shiftleft(1L, cast(at % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bit"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    got = words.toArrow()
-    out[got.column("word").to_numpy()] = got.column("bit").to_numpy()
+    words = words.withColumn("piece", F.expr(f"word div {_PIECE}")).repartition("piece").sortWithinPartitions("piece")
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            word, bit, piece = (batch.column(i).to_numpy() for i in range(3))
+            for k in np.unique(piece):
+                here = piece == k
+                held.setdefault(int(k), np.zeros(_PIECE, np.int64))[word[here] % _PIECE] = bit[here]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["piece", "words"])
+
+    out = np.zeros(max(_PIECE, 1 << (bits - 6)), np.int64)
+    got = words.mapInArrow(tidy(dense), "piece long, words binary").toArrow()
+    for k, data in zip(got.column("piece").to_pylist(), got.column("words").to_pylist()):
+        out[k * _PIECE : (k + 1) * _PIECE] = np.frombuffer(data, np.int64)
     return bits, out
 
 
