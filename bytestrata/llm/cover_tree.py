@@ -12,7 +12,8 @@ Labels of more than BLOCK points are cut into cells around pivots (at most PIVOT
 shared out by size), and cells that stand side by side in the cover tree of the pivots make blocks of at most BLOCK points,
 or several blocks a cell. A point is sent to a block only if one of its cells can hold a linked point: the cell's covering
 radius must reach it, and its distance to the plane between both pivots must be within the threshold, since a linked point is
-on the other side. That holds at any number of pivots. What leaves a task is a number of links per point and a spanning
+on the other side. That holds at any number of pivots. A label whose share of the pivots is less than two is cut into blocks by
+hash, which all meet. What leaves a task is a number of links per point and a spanning
 forest, not the pairs.
 
 Defined results: a vector that is null, empty or zero or has a null or non-finite component, or whose label is
@@ -327,21 +328,27 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 sizes[c], radius[c] = many, away
             blocks[key] = Blocks.of(p, sizes, radius)
 
+    large = points.groupBy("label", F.size("unit").alias("dims")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("splits")).filter("splits > 1")
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, points_ = batch.column(4).to_numpy(), batch.column(2).to_numpy()
+            cells, points_, splits = batch.column(4).to_numpy(), batch.column(2).to_numpy(), batch.column(5).to_numpy()
             for label, dims, at, units in _groups(batch):
                 own, other, row = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.arange(len(at))
                 if (b := blocks.get((label, dims))) is not None:
                     block = b.first[cells[at]] + points_[at] % b.many[cells[at]]
                     row, other = np.nonzero(b.reach(units, cells[at], limit))
                     own = block[row]
+                elif (many := int(splits[at[0]])) > 1:
+                    row, other = np.repeat(row, many), np.tile(np.arange(many), len(at))
+                    own = (points_[at] % many)[row]
                 side = np.where(own == other, 2, np.where(own < other, 0, 1))
                 keep = batch.select(["label", "point", "weight", "unit"]).take(pa.array(at[row]))
                 places = [pa.array(x.astype(np.int32)) for x in (np.minimum(own, other), np.maximum(own, other), side)]
                 yield pa.RecordBatch.from_arrays([*places, *keep.columns], ["low", "high", "side", "label", "point", "weight", "unit"])
 
-    sent = placed.select("label", "unit", "point", "weight", "cell").mapInArrow(tidy(send), f"low int, high int, side int, label {kind}, point long, weight long, unit array<double>")
+    placed = placed.join(large, ["label", "dims"], "left")
+    sent = placed.select("label", "unit", "point", "weight", "cell", F.coalesce("splits", F.lit(1)).alias("splits")).mapInArrow(tidy(send), f"low int, high int, side int, label {kind}, point long, weight long, unit array<double>")
     task = F.concat_ws("|", F.col("label").cast("string"), F.size("unit").cast("string"), F.col("low").cast("string"), F.col("high").cast("string"))
     found = cut(_compared(sent.select(task.alias("task"), "side", "point", "weight", "unit"), cosine))
     counts = found.filter("links is not null").groupBy(F.col("a").alias("point")).agg(F.sum("links").alias("links"))

@@ -342,9 +342,10 @@ def clustered(n: int, dims: int = 8, seed: int = 5) -> np.ndarray:
     return rng.normal(size=(n // 20, dims))[rng.integers(0, n // 20, n)] + rng.normal(size=(n, dims)) * rng.choice([0.02, 0.1, 0.3], n)[:, None]
 
 
-@pytest.mark.parametrize("block, cell", [(100, 3), (30, 300), (50, 25)])
-def test_cover_tree_many_pivots(spark, monkeypatch, block, cell):
-    """Hundreds of cells in a label, blocks of many cells and cells of many blocks: every link is found."""
+@pytest.mark.parametrize("block, cell, pivots", [(100, 3, 4096), (30, 300, 4096), (50, 25, 4096), (300, 25, 1)])
+def test_cover_tree_many_pivots(spark, monkeypatch, block, cell, pivots):
+    """Hundreds of cells in a label, blocks of many cells, cells of many blocks, and no pivots for a label: every link is found."""
+    monkeypatch.setattr(cover_tree, "PIVOTS", pivots)
     monkeypatch.setattr(cover_tree, "BLOCK", block)
     monkeypatch.setattr(cover_tree, "CELL", cell)
     x = clustered(2000)
