@@ -7,7 +7,7 @@ digits in ascending order.
 
 Defined results: a null text is the empty text, whose fingerprint is empty; a text of fewer than five
 words has one shingle, all its words; two empty texts have likeness 1, an empty and another one 0. Documents
-follow each other by doc_id, null first, then by text; of repeated rows each one follows the last. A single
+follow each other by doc_id, which must be a number or the text of one, null first, then by text; of repeated rows each one follows the last. A single
 document is followed by itself. An empty table gives an empty result; other columns are ignored.
 """
 

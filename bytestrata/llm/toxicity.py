@@ -137,6 +137,9 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
+    """The documents that score below the threshold, with all their columns. Without labels none is known to be toxic, and all stay."""
     own, back = carried(docs, "doc_id", "text")
-    return back(score(own, learn(own, labels), tuple(own.columns)).filter(F.col("score") < threshold))
+    model = learn(own, labels)
+    if not len(model.at) and model.bias == 0.0:
+        return docs
+    return back(score(own, model, tuple(own.columns)).filter(F.col("score") < threshold))

@@ -20,6 +20,7 @@ def test_documents_in_documents_out(spark, none, name):
     if name == "clean":  # of documents with ids and labels the classifier learns that nothing is toxic
         some = only.unionByName(spark.createDataFrame([(i, f"word {i}", None, None, None) for i in range(20)], none.schema))
         assert run(some).count() == 22
+        assert toxicity.clean(some, labels.limit(0)).count() == 22  # without labels none is known to be toxic
         return
     kept = run(only).collect()
     assert [tuple(r) for r in kept] == ([] if name == "order" else [NULLS, NULLS])  # a mix takes no words of what has none
