@@ -371,21 +371,43 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(docs: DataFrame, names: DataFrame, words: int, percent: int, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a, b, many): distinct links, by id, of the stars of all signatures; and two tables that they are made from."""
+    """(a, b, many): distinct links of the stars of all signatures between sets as they were packed; (at, id, n_shingles, counts) of
+    these; and a table that both are made from."""
     found = cut(sent(docs, words, percent, ranges).repartition("range").sortWithinPartitions("range").mapInArrow(tidy(_stars), "a long, b long, many boolean, names binary"))
     release(docs)
     where = found.filter("names is not null").select("a", "names").mapInArrow(tidy(_named), "at long, high long, low long")
-    where = cut(where.join(names.select("id", "high", "low"), ["high", "low"]).select("at", "id"))
-    links = found.filter("names is null").groupBy("a", "b").agg(F.max("many").alias("many"))
-    for end in ("a", "b"):
-        links = links.join(where.select(F.col("at").alias(end), F.col("id").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
-    return links.filter("a <> b").groupBy("a", "b").agg(F.max("many").alias("many")), found, where
+    where = cut(where.join(names.select("id", "high", "low", "n_shingles", "counts"), ["high", "low"]).select("at", "id", "n_shingles", "counts"))
+    return found.filter("names is null").groupBy("a", "b").agg(F.max("many").alias("many")), where, found
+
+
+class Forest:
+    """Which links connect what is not connected yet; it holds a bounded number of nodes."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
 
-def possible(links: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b, many), with column ok: whether the counts of both sets leave it possible that they are similar."""
+    def add(self, a: int, b: int) -> bool:
+        if len(self.up) > 1_000_000:
+            self.up = {}
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def possible(links: DataFrame, where: DataFrame, percent: int) -> DataFrame:
+    """The links by id (a, b, many), with ok, whether the counts of both sets leave it possible that they are similar, and tree,
+    whether it is one of the few that connect as much as a task's links that are ok do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for batch in batches:
             n, m = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             x, y = batch.column(4).to_pylist(), batch.column(6).to_pylist()
@@ -393,18 +415,20 @@ def possible(links: DataFrame, names: DataFrame, percent: int) -> DataFrame:
             for i in np.flatnonzero(ok):
                 cells = min(len(x[i]), len(y[i]))
                 ok[i] = np.abs(folded(x[i], cells) - folded(y[i], cells)).sum() * (100 + percent) <= (n[i] + m[i]) * (100 - percent)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok)], ["a", "b", "many", "ok"])
+            tree_ = [good and forest.add(a, b) for a, b, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ok.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok), pa.array(tree_, pa.bool_())], ["a", "b", "many", "ok", "tree"])
 
     for end in ("a", "b"):
-        links = links.join(names.select(F.col("id").alias(end), F.col("n_shingles").alias(f"{end}_n"), F.col("counts").alias(f"{end}_counts")), end)
-    return links.select("a", "b", "many", "a_n", "a_counts", "b_n", "b_counts").mapInArrow(tidy(run), "a long, b long, many boolean, ok boolean")
+        links = links.join(where.select(F.col("at").alias(end), F.col("id").alias(f"{end}_id"), F.col("n_shingles").alias(f"{end}_n"), F.col("counts").alias(f"{end}_counts")), end)
+    links = links.filter("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "many", "a_n", "a_counts", "b_n", "b_counts")
+    return links.mapInArrow(tidy(run), "a long, b long, many boolean, ok boolean, tree boolean")
 
 
 def within(tried: DataFrame, parts: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     """(a, b): of stars of several sets that are not one part (id, part), the possible links between their sets, as spanning forests.
 
-    Stars around sets of one part are taken together. Their sets outside of the part are compared, by counts, with each
-    other and with those in it.
+    Stars around sets of one part are taken together, and then those with the same main part, the one that has most of their
+    sets. Sets outside of the main part are compared, by counts, with each other and with those in it.
     """
     stars = tried.filter("many").select("a", "b")
     for end in ("a", "b"):
@@ -413,7 +437,9 @@ def within(tried: DataFrame, parts: DataFrame, names: DataFrame, percent: int) -
     wide = stars.filter("a_part <> b_part").select("a_part").distinct()
     stars = stars.join(wide, "a_part", "left_semi")
     ends = [stars.select(F.col("a_part").alias("component"), F.col(e).alias("id"), F.col(f"{e}_part").alias("part")) for e in ("a", "b")]
-    members = ends[0].unionByName(ends[1]).distinct().withColumn("main", F.col("component"))
+    members = cut(ends[0].unionByName(ends[1]).distinct())
+    main = members.groupBy("component", "part").agg(F.count("*").alias("many")).groupBy("component").agg(F.max_by("part", F.struct("many", "part")).alias("main"))
+    members = members.join(main, "component").select(F.col("main").alias("component"), "id", "part", "main").distinct()
     members = cut(members.join(names.select("id", "n_shingles"), "id"))
     dealt = block_tasks(members, percent).join(names.select("id", "counts", "n_shingles"), "id")
     compare = lambda x, n, y, m: maybe(x, n, y, m, percent)
@@ -495,36 +521,22 @@ def members_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
 
 def thin(links: DataFrame) -> DataFrame:
-    """Each task's links (a, b) without those between sets that it has connected already; it holds a bounded number."""
+    """Each task's links (a, b) without those between parts (x, y) that it has connected already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                up[x] = up.get(y, y)
-                x = y
-            return x
-
+        forest = Forest()
         for batch in batches:
-            kept = []
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = root(a), root(b)
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                    kept.append((a, b))
-            if len(up) > 1_000_000:
-                up.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], ["a", "b"])
+            keep = pa.array([forest.add(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns], ["a", "b", "x", "y"])
 
-    return links.select("a", "b").mapInArrow(tidy(run), "a long, b long")
+    return links.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, x long, y long")
 
 
 def spanning(links: DataFrame, close: DataFrame) -> DataFrame:
-    """Few links (a, b) that still connect the components (node, component): a large one's are thinned in several tasks."""
+    """Few links (a, b, x, y) that still connect parts to the components (node, component); a large one's are thinned in several tasks."""
     size = close.groupBy("component").agg(F.ceil(F.count("*") / SPANNED).alias("tasks"))
     own = close.join(size, "component").select(F.col("node").alias("a"), "component", "tasks")
-    together = links.join(own, "a").withColumn("part", F.pmod(F.xxhash64("b"), "tasks"))
+    together = links.join(own, "a").withColumn("part", F.pmod(F.xxhash64("y"), "tasks"))
     return thin(together.repartition("component", "part"))
 
 
@@ -578,28 +590,30 @@ def _linked(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     ranges = min(1 << 23, max(8 * partitions(docs), math.ceil(shingles / RANGE)))
     names = rows.filter("high is not null").groupBy("high", "low").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.first("counts").alias("counts"))
     names = cut(names.withColumn("id", F.monotonically_increasing_id()))
-    stars, *sources = candidates(docs, names, words, percent, ranges)
-    tried = cut(possible(stars, names, percent))
-    discard(*sources)
+    stars, packed_, found = candidates(docs, names, words, percent, ranges)
+    tried = cut(possible(stars, packed_, percent))
+    discard(packed_, found)
     release(docs)
-    links = cut(thin(tried.filter("ok")))
+    links = cut(tried.filter("tree").select("a", "b"))
     close = cut(components(links))
     where = names.select("id", "high", "low", "n_shingles")
     sets = cut(members_sets(docs, where.join(close.select(F.col("node").alias("id")), "id", "left_semi"), words))
-    sure = cut(verified(sets, edge_tasks(cut(spanning(links, close)), names), percent))
+    edges = cut(spanning(links.withColumn("x", F.col("a")).withColumn("y", F.col("b")), close))
+    sure = cut(verified(sets, edge_tasks(edges, names), percent))
     part = cut(components(sure).select(F.col("node").alias("id"), F.col("component").alias("part")))
     inside = cut(within(tried, part, names, percent))
     discard(tried)
     if not inside.isEmpty():
-        links = cut(links.unionByName(thin(inside)))
+        for end, name in (("a", "x"), ("b", "y")):
+            inside = inside.join(part.select(F.col("id").alias(end), F.col("part").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+        apart = cut(thin(inside.filter("x <> y")))
+        links = cut(links.unionByName(apart.select("a", "b")))
         close = cut(components(links))
         more = cut(where.join(close.select(F.col("node").alias("id")), "id", "left_semi").join(sets.select("id"), "id", "left_anti"))
         if not more.isEmpty():
             had, sets = sets, cut(sets.unionByName(members_sets(docs, more, words)))
             discard(had)
-        apart = inside.join(part.select(F.col("id").alias("a"), F.col("part").alias("x")), "a", "left").join(part.select(F.col("id").alias("b"), F.col("part").alias("y")), "b", "left")
-        apart = cut(apart.filter("coalesce(x, a) <> coalesce(y, b)").select("a", "b"))
-        sure = cut(sure.unionByName(verified(sets, edge_tasks(apart, names), percent)))
+        sure = cut(sure.unionByName(verified(sets, edge_tasks(cut(spanning(apart, close)), names), percent)))
         part = components(sure).select(F.col("node").alias("id"), F.col("component").alias("part"))
     release(docs)
     members = where.join(close.withColumnRenamed("node", "id"), "id").select("id", "n_shingles", "component")
