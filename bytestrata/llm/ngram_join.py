@@ -16,9 +16,9 @@ shape is the same at any number of documents.
 
 Sets with a common signature are candidates: stars around one of them. A star's links are ruled out by the counts of
 elements by cell, which differ by no more than similar sets' may, and a spanning forest of those that are left is compared
-element by element. What that connects are parts. Where a star has sets of several parts, those outside of its centre's part are
-compared by counts with each other and with that part, so that what stands by chance in one signature does not chain
-dissimilar sets together; the links of that are compared exactly too. Only where a component of candidates is then still in
+element by element. What that connects are parts. Where stars around one part have sets of several, those outside of the part
+with most of their sets are compared by counts with each other and with that part, so that what stands by chance in one
+signature does not chain dissimilar sets together; the links of that are compared exactly too. Only where a component of candidates is then still in
 several parts, the sets outside the largest part are compared exactly with each other and with the largest part, in blocks
 of bounded size; only spanning forests of links leave a task. Equal sets are one set throughout, so copies cost nothing.
 
