@@ -434,12 +434,10 @@ def within(tried: DataFrame, parts: DataFrame, names: DataFrame, percent: int) -
     for end in ("a", "b"):
         stars = stars.join(parts.select(F.col("id").alias(end), F.col("part").alias(f"{end}_part")), end, "left").withColumn(f"{end}_part", F.coalesce(f"{end}_part", end))
     stars = cut(stars)
-    wide = stars.filter("a_part <> b_part").select("a_part").distinct()
-    stars = stars.join(wide, "a_part", "left_semi")
     ends = [stars.select(F.col("a_part").alias("component"), F.col(e).alias("id"), F.col(f"{e}_part").alias("part")) for e in ("a", "b")]
     members = cut(ends[0].unionByName(ends[1]).distinct())
-    main = members.groupBy("component", "part").agg(F.count("*").alias("many")).groupBy("component").agg(F.max_by("part", F.struct("many", "part")).alias("main"))
-    members = members.join(main, "component").select(F.col("main").alias("component"), "id", "part", "main").distinct()
+    main = members.groupBy("component", "part").agg(F.count("*").alias("many")).groupBy("component").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count("*").alias("parts"))
+    members = members.join(main.filter("parts > 1"), "component").select(F.col("main").alias("component"), "id", "part", "main").distinct()
     members = cut(members.join(names.select("id", "n_shingles"), "id"))
     dealt = block_tasks(members, percent).join(names.select("id", "counts", "n_shingles"), "id")
     compare = lambda x, n, y, m: maybe(x, n, y, m, percent)
