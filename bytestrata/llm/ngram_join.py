@@ -55,6 +55,8 @@ SPARE, MANY_PARTS = 0.035, 8
 BLOCK_SETS, BLOCK_ELEMENTS = 256, 2_000_000
 #: Entries that a task packs at once, sets that they can come from, and entries of a range.
 HELD, HELD_SETS, RANGE = 1_000_000, 1 << 16, 1 << 21
+#: Links that a task holds before it sends them, about.
+LINKS = 1 << 20
 #: Sets whose links one task thins, about.
 SPANNED = 512
 #: Elements of a set for each cell of its count vector, about.
@@ -321,45 +323,113 @@ def sent(docs: DataFrame, words: int, percent: int, ranges: int) -> DataFrame:
     return pick(docs, "text").mapInArrow(tidy(run), "range int, pack long, signatures binary, sets binary")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, many, names): the links of a star around one of the sets of each signature, many if it can have more than two sets.
+def distinct_links(a: np.ndarray, b: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each link once, many if any of its rows is."""
+    order = np.lexsort((~many, b, a))
+    a, b, many = a[order], b[order], many[order]
+    first = np.concatenate((np.ones(min(len(a), 1), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return a[first], b[first], many[first]
 
-    Sets are named by pack and place; names: a pack's names, with the pack as a.
+
+def _stars(buckets: int):
+    """(bucket, pack, data): the links of a star around one of the sets of each signature, many if it can have more than two sets.
+
+    Sets are named by pack and place; without a bucket, data has the names of the sets of the pack. Sets that are almost equal share
+    signatures in most ranges: a task tells their link once, up to LINKS, and sends links packed, by the hash of their sets.
     """
-    current, keys, sets, held, cut_short = None, [], [], 0, False
-
-    def links(whole: bool) -> pa.RecordBatch:
-        nonlocal keys, sets, held, cut_short
-        cut_short |= not whole
-        key, own = np.concatenate(keys), np.concatenate(sets)
-        order = np.argsort(key, kind="stable")  # the first of a signature stays the first
-        key, own = key[order], own[order]
-        lead = np.concatenate(([True], key[1:] != key[:-1]))
-        group = np.cumsum(lead) - 1
-        leader, more = own[lead][group], (np.bincount(group) > 2)[group] | cut_short
-        keys, sets, held = [key[lead]], [own[lead]], int(lead.sum())
-        pairs = np.unique(np.stack((leader, own, more.astype(np.int64)), 1)[~lead], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] == 1), pa.nulls(len(pairs), pa.binary())], ["a", "b", "many", "names"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, keys, sets, held, cut_short = None, [], [], 0, False
+        told: list[tuple] = []
+
+        def links(whole: bool) -> None:
+            nonlocal keys, sets, held, cut_short, told
+            cut_short |= not whole
+            key, own = np.concatenate(keys), np.concatenate(sets)
+            order = np.argsort(key, kind="stable")  # the first of a signature stays the first
+            key, own = key[order], own[order]
+            lead = np.concatenate(([True], key[1:] != key[:-1]))
+            group = np.cumsum(lead) - 1
+            leader, more = own[lead][group], (np.bincount(group) > 2)[group] | cut_short
+            keys, sets, held = [key[lead]], [own[lead]], int(lead.sum())
+            told.append(distinct_links(leader[~lead], own[~lead], more[~lead]))
+            if len(told) > 1 and sum(len(x[0]) for x in told[1:]) >= max(LINKS // 4, len(told[0][0])):
+                told = [distinct_links(*(np.concatenate(c) for c in zip(*told)))]
+
+        def out() -> pa.RecordBatch:
+            nonlocal told
+            a, b, many = distinct_links(*(np.concatenate(c) for c in zip(*told)))
+            told = []
+            at = bucket_of(a, b, buckets)
+            order = np.argsort(at, kind="stable")
+            a, b, many, at = a[order], b[order], many[order], at[order]
+            starts = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), bool), at[1:] != at[:-1])))
+            data = [pack_links(a[i:j], b[i:j], many[i:j]) for i, j in zip(starts, np.append(starts[1:], len(at)))]
+            return pa.RecordBatch.from_arrays([pa.array(at[starts], pa.int32()), pa.nulls(len(data), pa.int64()), pa.array(data, pa.binary())], ["bucket", "pack", "data"])
+
+        for batch in batches:
+            at, pack = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in range(len(at)):
+                if at[i] != current:
+                    if held:
+                        links(True)
+                    current, keys, sets, held, cut_short = at[i], [], [], 0, False
+                    if told and len(told[0][0]) >= LINKS:
+                        yield out()
+                data, places = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+                if data is None:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([pack[i]], pa.int64()), pa.array([places], pa.binary())], ["bucket", "pack", "data"])
+                    continue
+                own = np.frombuffer(places, "<u2").astype(np.int64)
+                keys.append(unpacked(data, len(own)))
+                sets.append(own | np.int64(pack[i] << 16))
+                held += len(own)
+                if held > 4 * RANGE:
+                    links(False)
+        if held:
+            links(True)
+        if told:
+            yield out()
+
+    return run
+
+
+def bucket_of(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        key = mix(mix(a.view(U64)) ^ b.view(U64))
+    return ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def pack_links(a: np.ndarray, b: np.ndarray, many: np.ndarray) -> bytes:
+    return a.astype("<i8").tobytes() + b.astype("<i8").tobytes() + many.astype(np.uint8).tobytes()
+
+
+def unpack_links(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) // 17
+    return np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, np.uint8, n, 16 * n).astype(bool)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, many): each link of a bucket once; buckets come one after the other."""
+    current, got, waiting = None, [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        a, b, many = distinct_links(*(np.concatenate(c) for c in zip(*got)))
+        for i in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in (a, b, many)], ["a", "b", "many"])
 
     for batch in batches:
-        at, pack = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i in range(len(at)):
-            if at[i] != current:
-                if held:
-                    yield links(True)
-                current, keys, sets, held, cut_short = at[i], [], [], 0, False
-            data, places = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-            if data is None:
-                yield pa.RecordBatch.from_arrays([pa.array([pack[i]], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([places], pa.binary())], ["a", "b", "many", "names"])
-                continue
-            own = np.frombuffer(places, "<u2").astype(np.int64)
-            keys.append(unpacked(data, len(own)))
-            sets.append(own | np.int64(pack[i] << 16))
-            held += len(own)
-            if held > 4 * RANGE:
-                yield links(False)
-    if held:
-        yield links(True)
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if bucket != current:
+                if got:
+                    yield from out()
+                current, got, waiting = bucket, [], 0
+            got.append(unpack_links(data.as_py()))
+            waiting += len(got[-1][0])
+            if len(got) > 1 and waiting >= max(LINKS, len(got[0][0])):
+                got, waiting = [distinct_links(*(np.concatenate(c) for c in zip(*got)))], 0
+    if got:
+        yield from out()
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,11 +443,13 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(docs: DataFrame, names: DataFrame, words: int, percent: int, ranges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(a, b, many): distinct links of the stars of all signatures between sets as they were packed; (at, id, n_shingles, counts) of
     these; and a table that both are made from."""
-    found = cut(sent(docs, words, percent, ranges).repartition("range").sortWithinPartitions("range").mapInArrow(tidy(_stars), "a long, b long, many boolean, names binary"))
+    buckets = min(ranges, partitions(docs)) if ranges <= 8 * partitions(docs) else ranges  # so many that a bucket's links fit a task
+    found = cut(sent(docs, words, percent, ranges).repartition("range").sortWithinPartitions("range").mapInArrow(tidy(_stars(buckets)), "bucket int, pack long, data binary"))
     release(docs)
-    where = found.filter("names is not null").select("a", "names").mapInArrow(tidy(_named), "at long, high long, low long")
+    where = found.filter("bucket is null").select("pack", "data").mapInArrow(tidy(_named), "at long, high long, low long")
     where = cut(where.join(names.select("id", "high", "low", "n_shingles", "counts"), ["high", "low"]).select("at", "id", "n_shingles", "counts"))
-    return found.filter("names is null").groupBy("a", "b").agg(F.max("many").alias("many")), where, found
+    told = found.filter("bucket is not null").select("bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
+    return told.mapInArrow(tidy(_met), "a long, b long, many boolean"), where, found
 
 
 class Forest:

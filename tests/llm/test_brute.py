@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from bytestrata.llm import bpe, components, cover_tree, fingerprints, licenses, mixing, ngram_join, quality, queries, secrets, suffix_dedup, toxicity
 
@@ -474,3 +475,20 @@ def test_forward_backward_by_enumeration():
             for p, q in zip(y, y[1:]):
                 total[p, q] += v / whole
     assert np.allclose(total, moved)
+
+
+def test_links_are_told_once_by_a_task(spark):
+    """Sets that are almost equal share signatures in most ranges; their links do not become rows of each range."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join([*words[:150], "other", *words[151:]])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = ngram_join.sets_of(docs, 5)
+    names = rows.select("high", "low", "n_shingles", "counts", F.col("doc_id").alias("id"))
+    links, where, found = ngram_join.candidates(docs, names, 5, 80, 256)
+    ids = {r["at"]: r["id"] for r in where.collect()}
+    met = [tuple(r) for r in links.select("a", "b").collect()]
+    assert len(met) == len(set(met)) and {tuple(sorted((ids[a] // 2, ids[b] // 2))) for a, b in met} == {(i, i) for i in range(40)}
+    assert found.count() < 200  # 40 links in some 200 ranges each
